@@ -24,6 +24,30 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, separator=0)
 
 
+def op5_simhash_vantage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, radius=2)
+
+
+def op7_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents"), [1.0] * 16, [1.0] * 17)
+
+
+def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import document_secrets
+
+    return document_secrets(table(spark, sf_dir, "documents"))
+
+
+def op9_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         name: f
