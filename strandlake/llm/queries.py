@@ -48,6 +48,13 @@ def op9_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
+def op10_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    out = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "lang", F.col("_n").alias("n_words"), "perplexity", "threshold", "keep")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         name: f
