@@ -30,6 +30,12 @@ def op5_simhash_vantage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, radius=2)
 
 
+def op6_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), shingle_words=5, threshold=0.8)
+
+
 def op7_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_documents
 
@@ -63,5 +69,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: The plain definition: every pair of a document and a test item by whole shingles.
+_OP6 = """
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL),
+ds AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+bs AS (SELECT DISTINCT item_id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+n AS (SELECT item_id, count(*) AS shingles FROM bs GROUP BY item_id),
+h AS (SELECT doc_id, item_id, count(*) AS shared FROM ds JOIN bs USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, CAST(shared AS BIGINT) AS shared, CAST(shingles AS BIGINT) AS shingles, CAST(shared AS DOUBLE) / shingles AS containment
+FROM h JOIN n USING (item_id) WHERE shared >= ceil(shingles * 0.8)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_minhash_containment": _OP6}
