@@ -24,6 +24,13 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, separator=0)
 
 
+def op3_fm_index_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import deduplicate
+
+    out = deduplicate(table(spark, sf_dir, "documents"), window=13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_simhash_vantage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
