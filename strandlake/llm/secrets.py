@@ -56,6 +56,8 @@ BASE_RULES = RuleSet(
         Rule("hex", r"[0-9a-f]+", 24),
     ),
 )
+#: Findings that are broadcast at most; more are joined by a shuffle.
+SPANS_BROADCAST = 200_000
 LEDGER = "blob string, rule_version string, findings array<struct<kind:string,start:long,end:long>>"
 
 
@@ -148,8 +150,9 @@ def document_secrets(docs: DataFrame, rules: RuleSet = BASE_RULES) -> DataFrame:
 
 def redact(docs: DataFrame, rules: RuleSet = BASE_RULES, mask: str = "[secret]") -> DataFrame:
     """docs with every found span replaced; other columns and rows stay as they are."""
-    spare = staged_ledger(docs, rules)
-    blobs = docs.withColumn("_blob", content_address(F.col("text"))).join(spare.withColumnRenamed("blob", "_blob"), "_blob", "left")
+    spare = staged_ledger(docs, rules).withColumnRenamed("blob", "_blob")
+    spans = spare.agg(F.sum(F.size("_findings"))).first()[0] or 0
+    blobs = docs.withColumn("_blob", content_address(F.col("text"))).join(F.broadcast(spare) if spans <= SPANS_BROADCAST else spare, "_blob", "left")
     # spans of different kinds may overlap: the text between the furthest end so far and the next start stays
     step = lambda acc, f: F.struct(
         F.concat(acc["out"], F.when(f["start"] >= acc["at"], F.concat(F.col("text").substr(acc["at"].cast("int") + 1, (f["start"] - acc["at"]).cast("int")), F.lit(mask))).otherwise(F.lit(""))).alias("out"),

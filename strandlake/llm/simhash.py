@@ -58,7 +58,7 @@ def mixed(h: np.ndarray, lane: int) -> np.ndarray:
     """Another 64 hash bits from a hash (the finalizer of splitmix64); lane 0 is the hash itself."""
     if not lane:
         return h
-    z = h + np.uint64(lane) * np.uint64(0x9E3779B97F4A7C15)
+    z = h + np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << 64))
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return z ^ (z >> np.uint64(31))
