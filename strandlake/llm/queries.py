@@ -31,6 +31,12 @@ def op3_fm_index_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .htmltext import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_simhash_vantage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
