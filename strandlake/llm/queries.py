@@ -24,6 +24,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, separator=0)
 
 
+def op2_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lmscore import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op3_fm_index_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrings import deduplicate
 
