@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import q_intervals
+
+_PARTS = (q_intervals,)
+QUERIES: dict = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
+ORACLES: dict[str, str] = {k: s for part in _PARTS for k, s in part.ORACLES.items()}
