@@ -23,6 +23,9 @@ def lower_runs(text: Column) -> Column:
 def restore(text: Column, runs: Column) -> Column:
     """text with its runs in lower case."""
     cut = lambda a, n: F.substring(text, a.cast("int") + 1, n.cast("int"))
-    parts = F.transform(runs, lambda r, i: F.concat(cut(F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(runs, i - 1)["end"]), r["start"] - F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(runs, i - 1)["end"])), F.lower(cut(r["start"], r["end"] - r["start"]))))
-    tail = F.coalesce(F.get(runs, F.size(runs) - 1)["end"], F.lit(0).cast("long"))
-    return F.concat(F.array_join(parts, ""), cut(tail, F.length(text)))
+
+    def walk(acc: Column, r: Column) -> Column:
+        return F.struct(r["end"].alias("at"), F.concat(acc["out"], cut(acc["at"], r["start"] - acc["at"]), F.lower(cut(r["start"], r["end"] - r["start"]))).alias("out"))
+
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    return F.aggregate(runs, start, walk, lambda acc: F.concat(acc["out"], cut(acc["at"], F.length(text) - acc["at"])))

@@ -25,11 +25,11 @@ def with_neighbours(segs: DataFrame) -> DataFrame:
 
 
 def overlapping_blocks(blocks: DataFrame, width: int = 64) -> DataFrame:
-    """(left, right, shared) block pairs that overlap on the reference and may merge: their queries are of different species."""
+    """(rchr, left, right, shared) block pairs that overlap on the reference and may merge: their queries are of different species."""
     a = blocks.select("rchr", "start", "end", F.col("block").alias("left"), F.col("species").alias("ls"))
     b = blocks.select("rchr", F.col("start").alias("start2"), F.col("end").alias("end2"), F.col("block").alias("right"), F.col("species").alias("rs"))
     pairs = iv.overlap_join(a, b, ["rchr"], width).where((F.col("left") < F.col("right")) & (F.col("ls") != F.col("rs")))
-    return pairs.select("left", "right", (F.least("end", "end2") - F.greatest("start", "start2")).alias("shared"))
+    return pairs.select("rchr", "left", "right", (F.least("end", "end2") - F.greatest("start", "start2")).alias("shared"))
 
 
 def elementary_split(blocks: DataFrame, width: int = 64) -> DataFrame:

@@ -49,12 +49,10 @@ def path_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {_DISTINCT} SELECT a.rchr, CAST(count(*) AS BIGINT) AS pairs, CAST(sum(least(a."end", b."end") - greatest(a."start", b."start")) AS BIGINT) AS shared FROM bk a JOIN bk b ON a.rchr = b.rchr AND a."start" < b."end" AND b."start" < a."end" AND a.block < b.block AND a.species <> b.species GROUP BY a.rchr""")
 def block_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    b = _blocks(spark, d)
-    pairs = gr.overlapping_blocks(b)
-    return pairs.join(b.select(F.col("block").alias("left"), "rchr"), "left").groupBy("rchr").agg(F.count(F.lit(1)).alias("pairs"), F.sum("shared").alias("shared"))
+    return gr.overlapping_blocks(_blocks(spark, d)).groupBy("rchr").agg(F.count(F.lit(1)).alias("pairs"), F.sum("shared").alias("shared"))
 
 
-@query(f"""WITH {_DISTINCT}, c AS (SELECT DISTINCT rchr, "start" AS at FROM bk UNION SELECT rchr, "end" FROM bk), e AS (SELECT rchr, at AS s, lead(at) OVER (PARTITION BY rchr ORDER BY at) AS t FROM c),
+@query(f"""WITH {_DISTINCT}, c AS (SELECT DISTINCT rchr, "start" AS x FROM bk UNION SELECT rchr, "end" FROM bk), e AS (SELECT rchr, x AS s, lead(x) OVER (PARTITION BY rchr ORDER BY x) AS t FROM c),
 o AS (SELECT rchr, s, t, (SELECT count(*) FROM bk WHERE bk.rchr = e.rchr AND "start" <= s AND "end" >= t) AS members FROM e WHERE t IS NOT NULL) SELECT rchr, s AS "start", t AS "end", CAST(members AS BIGINT) AS members FROM o WHERE members > 0""")
 def elementary_block_split(spark: SparkSession, d: str) -> DataFrame:
     return gr.elementary_split(_blocks(spark, d))
@@ -141,7 +139,7 @@ def breakpoint_closure(spark: SparkSession, d: str) -> DataFrame:
     return pg.breakpoints(cut(exact_relations(spark, d)), _lengths(spark, d), keep=cut)
 
 
-@query(f"""WITH RECURSIVE {_CUTS} SELECT * FROM (SELECT block, row, at AS "start", lead(at) OVER (PARTITION BY block, row ORDER BY at) AS "end" FROM bp) WHERE "end" > "start" """)
+@query(f"""WITH RECURSIVE {_CUTS} SELECT * FROM (SELECT block, row, "at" AS "start", lead("at") OVER (PARTITION BY block, row ORDER BY "at") AS "end" FROM bp) WHERE "end" > "start" """)
 def gfa_atoms(spark: SparkSession, d: str) -> DataFrame:
     return pg.atoms(breakpoint_closure(spark, d))
 
@@ -250,7 +248,8 @@ def softmask_restore(spark: SparkSession, d: str) -> DataFrame:
     from ..functions.softmask import lower_runs, restore
 
     docs = ad.read(spark, d, "documents").select("doc_id", F.regexp_replace("text", "[^A-Za-z]", "N").alias("t"))
-    return docs.select("doc_id", (restore(F.upper("t"), lower_runs(F.col("t"))) == F.col("t")).alias("restored"))
+    docs = docs.select("doc_id", "t", F.upper("t").alias("u"), lower_runs(F.col("t")).alias("runs"))
+    return docs.select("doc_id", (restore(F.col("u"), F.col("runs")) == F.col("t")).alias("restored"))
 
 
 @query(None)
