@@ -298,3 +298,21 @@ def star_profile(spark: SparkSession, d: str) -> DataFrame:
     r = ad.alignment_rows(spark, d)
     pair = r.where("row = 0").select("block", F.col("aligned").alias("ref")).join(r.where("row > 0").select("block", "row", F.col("aligned").alias("qry")), "block")
     return columns.star_profile(pair).select("block", "row", F.md5(F.replace(F.col("aligned"), F.lit("-"), F.lit(""))).alias("bases"))
+
+
+@query(None)
+def gap_alignment(spark: SparkSession, d: str) -> DataFrame:
+    """Best global alignments of the bases of row 0 and every other row of a block."""
+    from ..functions.align import aligned
+
+    bare = ad.alignment_rows(spark, d).select("block", "row", F.replace(F.col("aligned"), F.lit("-"), F.lit("")).alias("seq"))
+    pairs = bare.where("row = 0").select("block", F.col("seq").alias("ref")).join(bare.where("row > 0").select("block", "row", F.col("seq").alias("qry")), "block")
+    return aligned(pairs, "ref", "qry").select("block", "row", "score", "cigar")
+
+
+@query(None)
+def connected_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Row pairs that keep every column's equal bases connected, by a reference star and hubs."""
+    from ..operators.pairs import connected
+
+    return connected(ad.alignment_rows(spark, d), reference=0)
