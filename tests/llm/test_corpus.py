@@ -432,7 +432,7 @@ def plain_kneser_ney(texts):
     def discounts(c):
         n = Counter(min(v, 5) for v in c.values())
         y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0
-        return [0] + [min(max(i - (i + 1) * y * n[i + 1] / n[i], 0), i) if n[i] else 0 for i in (1, 2, 3)]
+        return [0] + [min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.1), i) if n[i] else 0.1 for i in (1, 2, 3)]
 
     d = {3: discounts(c3), 2: discounts(c2), 1: discounts(c1)}
     total = sum(c1.values())
@@ -485,3 +485,13 @@ def test_quality_keeps_and_rejects(spark):
     assert keep_good(df, labels).columns == df.columns
     assert keep_good(df, labels.limit(0)).count() == df.count()
     assert classify(fx.empty(spark), labels).count() == 0
+
+
+def test_copies_in_the_trusted_text_leave_every_word_a_probability(spark):
+    from strandlake.llm.quality import scored, train
+
+    rng = __import__("random").Random(6)
+    once = [fx.prose(rng, 50) for _ in range(20)]
+    model = train(spark.createDataFrame([(t,) for t in once * 2], "text string"))
+    got = scored(spark.createDataFrame([("never seen words after the river",)], "text string"), model).first()
+    assert np.isfinite(got._log) and got._log < 0
