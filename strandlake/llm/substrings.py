@@ -104,7 +104,7 @@ def judge(contents: list[bytes], lows: np.ndarray, window: int) -> list[np.ndarr
     return np.split(best, np.cumsum(counts)[:-1])
 
 
-def deduplicate(docs: DataFrame, window: int = 13, seed: int = 4, shard_words: int = 1_000_000, segment_bound: int = 20_000) -> DataFrame:
+def deduplicate(docs: DataFrame, window: int = 13, seed: int = 4, shard_words: int = 250_000, segment_bound: int = 20_000) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text and the removed word spans of every document."""
     text = F.col("text").cast("string")
     ident = F.col("doc_id").cast("long")
@@ -125,6 +125,10 @@ def deduplicate(docs: DataFrame, window: int = 13, seed: int = 4, shard_words: i
     marked = keyed.join(marks, "k", "left")
 
     def cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from zlib import crc32
+
+        from xxhash import xxh64_intdigest
+
         for batch in batches:
             for lo in range(0, len(batch), 128):
                 part = batch.iloc[lo : lo + 128]
@@ -134,13 +138,33 @@ def deduplicate(docs: DataFrame, window: int = 13, seed: int = 4, shard_words: i
                 own: list[list] = [[] for _ in words]
                 for i, a, b, mm in zip(doc.tolist(), first.tolist(), last.tolist(), m.tolist()):
                     if wanted[i] and mm in wanted[i]:
-                        own[i].append({"m": mm, "start": a, "content": b" ".join(words[i][a : b + window])})
+                        content = b" ".join(words[i][a : b + window])
+                        own[i].append({"m": mm, "start": a, "words": b + window - a, "h1": xxh64_intdigest(content, 1) - (1 << 63), "h2": crc32(content) - (1 << 31)})
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "d": part["d"], "k": part["k"], "n_words": [len(w) for w in words], "kept": [b" ".join(w) for w in words], "segments": own})
 
-    shape = "doc_id long, d long, k long, n_words long, kept binary, segments array<struct<m:long,start:long,content:binary>>"
+    shape = "doc_id long, d long, k long, n_words long, kept binary, segments array<struct<m:long,start:long,words:int,h1:long,h2:int>>"
     table = staged(marked.select("doc_id", "d", "k", "text", "marks").mapInPandas(cut_out, shape))
-    each = table.where(F.size("segments") > 0).select("d", "k", F.explode("segments").alias("s")).select("d", "k", "s.m", "s.start", "s.content", F.xxhash64("s.content").alias("h1"), F.hash("s.content").alias("h2"))
-    unique = staged(each.groupBy("m", "h1", "h2").agg(F.min("d").alias("low"), F.min("content").alias("content")))
+    each = table.where(F.size("segments") > 0).select("d", "k", F.explode("segments").alias("s")).select("d", "k", "s.start", "s.h1", "s.h2")
+
+    def contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lo in range(0, len(batch), 256):
+                part = batch.iloc[lo : lo + 256]
+                made: dict = {}
+                for d, raw, found in zip(part["d"].tolist(), part["kept"], part["segments"]):
+                    words = bytes(raw).split(b" ")
+                    for s in found:
+                        key = (s["m"], s["h1"], s["h2"])
+                        old = made.get(key)
+                        if old is None:
+                            made[key] = [1, d, b" ".join(words[s["start"] : s["start"] + s["words"]])]
+                        else:
+                            old[0] += 1
+                            old[1] = min(old[1], d)
+                yield pd.DataFrame({"m": [x[0] for x in made], "h1": [x[1] for x in made], "h2": [x[2] for x in made], "n": [v[0] for v in made.values()], "d": [v[1] for v in made.values()], "content": [v[2] for v in made.values()]})
+
+    texts = table.where(F.size("segments") > 0).select("d", "kept", "segments").mapInPandas(contents, "m long, h1 long, h2 int, n long, d long, content binary")
+    unique = staged(texts.groupBy("m", "h1", "h2").agg(F.sum("n").alias("n"), F.min("d").alias("low"), F.min("content").alias("content")))
     per = unique.groupBy("m").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > segment_bound).select("m")
     per = cut(per)
     crowded = per.count()
@@ -149,7 +173,9 @@ def deduplicate(docs: DataFrame, window: int = 13, seed: int = 4, shard_words: i
 
     def index(pdf: pd.DataFrame) -> pd.DataFrame:
         found = judge(pdf["content"].tolist(), pdf["low"].to_numpy("int64"), window)
-        return pd.DataFrame({"h1": pdf["h1"], "h2": pdf["h2"], "lows": [list(f) for f in found]})
+        # a segment of one document that no other segment shares a window with removes nothing
+        use = [i for i, (n, low, f) in enumerate(zip(pdf["n"], pdf["low"], found)) if n > 1 or (f < low).any()]
+        return pd.DataFrame({"h1": pdf["h1"].iloc[use], "h2": pdf["h2"].iloc[use], "lows": [list(found[i]) for i in use]})
 
     out = "h1 long, h2 int, lows array<long>"
     plain = unique.join(F.broadcast(per), "m", "left_anti") if 0 < crowded <= 100_000 else unique.join(per, "m", "left_anti") if crowded else unique
@@ -161,7 +187,7 @@ def deduplicate(docs: DataFrame, window: int = 13, seed: int = 4, shard_words: i
                 yield pd.DataFrame(made, columns=["s1", "s2", "i", "content", "low"])
 
         single = staged(unique.join(per, "m").mapInPandas(apart, "s1 long, s2 int, i int, content binary, low long").withColumn("h1", F.xxhash64("content")).withColumn("h2", F.hash("content")))
-        one = single.groupBy("h1", "h2").agg(F.min("low").alias("low"), F.min("content").alias("content"))
+        one = single.groupBy("h1", "h2").agg(F.min("low").alias("low"), F.min("content").alias("content"), F.lit(2).alias("n"))
         alone = one.withColumn("shard", F.pmod(F.col("h1"), F.lit(shards))).groupBy("shard").applyInPandas(index, out)
         back = single.select("s1", "s2", "i", "h1", "h2").join(alone, ["h1", "h2"]).groupBy("s1", "s2").agg(F.array_sort(F.collect_list(F.struct("i", F.element_at("lows", 1).alias("low")))).alias("all"))
         judged = judged.unionByName(back.select(F.col("s1").alias("h1"), F.col("s2").alias("h2"), F.col("all.low").alias("lows")))
