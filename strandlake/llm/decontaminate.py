@@ -31,18 +31,28 @@ def words(text: Column) -> Column:
 
 
 def starts(w: Column, k: int) -> Column:
-    """1-based starts of a word array's shingles; one if it is shorter than a shingle, none if empty."""
-    return F.when(F.size(w) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1))))
+    """0-based starts of a word array's shingles; one if it is shorter than a shingle, none if empty."""
+    return F.when(F.size(w) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0))))
+
+
+def at(w: Column, i: Column, k: int) -> list[Column]:
+    """The words of the shingle at i, null beyond the end. Element by element: slice() inside a lambda copies the whole array each time."""
+    return [F.get(w, i + j) for j in range(k)]
+
+
+def all_hashes(w: Column, k: int) -> Column:
+    """64-bit hashes of the shingles of a word array, repeats included."""
+    return F.transform(starts(w, k), lambda i: F.xxhash64(*at(w, i, k)))
 
 
 def shingle_hashes(w: Column, k: int) -> Column:
     """Distinct 64-bit hashes of the shingles of a word array."""
-    return F.array_distinct(F.transform(starts(w, k), lambda i: F.xxhash64(F.slice(w, i, k))))
+    return F.array_distinct(all_hashes(w, k))
 
 
 def shingle_texts(w: Column, k: int) -> Column:
     """Distinct shingles of a word array, words joined by one space."""
-    return F.array_distinct(F.transform(starts(w, k), lambda i: F.array_join(F.slice(w, i, k), " ")))
+    return F.array_distinct(F.transform(starts(w, k), lambda i: F.concat_ws(" ", *at(w, i, k))))
 
 
 def content_key(text: Column) -> Column:
@@ -58,7 +68,7 @@ def sketches(items: DataFrame, k: int, threshold: float) -> DataFrame:
     return sized.select("item", F.explode(F.slice("h", 1, width.cast("int"))).alias("hash"))
 
 
-def contained(docs: DataFrame, benchmark: DataFrame, shingle_words: int = 5, threshold: float = 0.8, broadcast_rows: int = 2_000_000) -> DataFrame:
+def contained(docs: DataFrame, benchmark: DataFrame, shingle_words: int = 5, threshold: float = 0.8, broadcast_rows: int = 200_000) -> DataFrame:
     """(content, item, shared, shingles): document contents that hold an item's shingles to the threshold.
 
     content is content_key(text) of the document, item that of the test item.
@@ -69,14 +79,15 @@ def contained(docs: DataFrame, benchmark: DataFrame, shingle_words: int = 5, thr
     n_probes = probes.count()
     small = n_probes <= broadcast_rows
     hashed = docs.where("text is not null").select(content_key(F.col("text")).alias("content"), words(F.col("text")).alias("w"))
-    found = hashed.select("content", F.explode(F.transform(starts(F.col("w"), shingle_words), lambda i: F.xxhash64(F.slice(F.col("w"), i, shingle_words)))).alias("hash"))
+    found = hashed.select("content", F.explode(all_hashes(F.col("w"), shingle_words)).alias("hash"))
     pairs = staged(found.join(F.broadcast(probes) if small else probes, "hash").select("content", "item").distinct())
     # verification on whole shingles, only of contents that are candidates
     contents = pairs.select("content").distinct()
     few = pairs.count() <= broadcast_rows
     kept = docs.where("text is not null").withColumn("content", content_key(F.col("text"))).join(F.broadcast(contents) if few else contents, "content", "left_semi")
-    one = kept.select("content", "text").dropDuplicates(["content"])
-    doc_shingles = one.select("content", F.explode(shingle_texts(words(F.col("text")), shingle_words)).alias("shingle"))
+    one = kept.select("content", "text").dropDuplicates(["content"]).select("content", words(F.col("text")).alias("w"))
+    # w is a column by now: an expression in its place would be evaluated again for every shingle
+    doc_shingles = one.select("content", F.explode(shingle_texts(F.col("w"), shingle_words)).alias("shingle"))
     item_shingles = items.select("item", shingle_texts(F.col("w"), shingle_words).alias("s")).select("item", F.size("s").alias("shingles"), F.explode("s").alias("shingle"))
     hits = doc_shingles.join(F.broadcast(item_shingles) if small else item_shingles, "shingle").groupBy("content", "item").agg(F.count(F.lit(1)).alias("shared"), F.first("shingles").cast("long").alias("shingles"))
     return staged(pairs.join(hits, ["content", "item"]).where(F.col("shared") >= F.ceil(F.col("shingles") * threshold)))
@@ -90,7 +101,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle_words: int = 5,
     return named.join(hits, "content").join(items, "item").select("doc_id", "item_id", "shared", "shingles", (F.col("shared") / F.col("shingles")).alias("containment"))
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, shingle_words: int = 5, threshold: float = 0.8, broadcast_rows: int = 2_000_000) -> DataFrame:
+def clean_documents(docs: DataFrame, benchmark: DataFrame, shingle_words: int = 5, threshold: float = 0.8, broadcast_rows: int = 200_000) -> DataFrame:
     """The rows of docs that hold no test item, all columns."""
     bad = contained(docs, benchmark, shingle_words, threshold, broadcast_rows).select(F.col("content").alias("_content")).distinct()
     few = bad.count() <= broadcast_rows
