@@ -278,26 +278,149 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = 2, sh
 
 #: 64-bit lanes of the wide check fingerprint, and of the search views.
 WIDE_LANES, VIEW_LANES = 4, 2
+#: Shingles that sort last in prefixes: at most so many, of those found this often in one node of HOT_SHARE.
+HOT_SHINGLES, HOT_LEAST, HOT_SHARE = 500_000, 3, 16
+#: Nodes handled at once, and prefix shingles in a task.
+SLICE, PART_SHINGLES = 512, 400_000
+#: Nodes that are broadcast at most; more are joined by a shuffle.
+BROADCAST_NODES = 500_000
 
 
-def similar_documents(docs: DataFrame, shingle_words: int = 5, differing: int = 42, radius: int = 3, shard_rows: int = 20_000) -> DataFrame:
-    """doc_id and component_id of documents whose shingle sets agree to about 0.8 or more.
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's k-word shingles."""
+    from xxhash import xxh64_intdigest
+
+    return np.unique(np.array([xxh64_intdigest(p, SEED) for p in set(shingles(words_of(text), k))], "<u8").view("<i8"))
+
+
+def similar_sets(a: int, b: int, both: int, tenths: int = 8) -> bool:
+    """Whether sets of a and b members that share `both` have a Jaccard similarity of tenths / 10 or more."""
+    return (10 + tenths) * both >= tenths * (a + b)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
+    """The rows of pairs(src, dst) whose sets(node, shingles) are similar, by whole sets; sets may repeat, pairs must be stored."""
+    named = cut(pairs.select(F.col("src").alias("node")).unionByName(pairs.select(F.col("dst").alias("node"))).distinct())
+    if named.count() <= BROADCAST_NODES:
+        named = F.broadcast(named)
+    own = staged(sets.select("node", "shingles").join(named, "node", "left_semi").dropDuplicates(["node"]))
+    left = own.select(F.col("node").alias("src"), F.col("shingles").alias("_a"))
+    right = own.select(F.col("node").alias("dst"), F.col("shingles").alias("_b"))
+    held = pairs.join(left, "src").join(right, "dst")
+    return held.where(similar_sets(F.size("_a"), F.size("_b"), F.size(F.array_intersect("_a", "_b")), tenths)).select("src", "dst")
+
+
+def met(n):
+    """Members that the prefixes of similar sets share, the smaller of which has n."""
+    return 1 + n // 20
+
+
+def prefix(members: np.ndarray, hot: np.ndarray, rank: np.ndarray, tenths: int) -> np.ndarray:
+    """The first members of a set in the common order: rare ones by hash, then hot ones by rank.
 
-    The decision is on 256-bit fingerprints of shingle_words-word shingles: a Jaccard similarity of
-    0.8 makes about 39 bits differ (+- 6), one of 0.7 about 49, unrelated texts 128 +- 8. Such a
-    radius can't be pruned in any tree, so candidates come from two exact searches of small radius
-    over fingerprints of single words, which a few edits hardly move.
+    The k-th common member of two sets with a similarity of tenths / 10 is at most at place
+    n - ceil(n tenths / 10) + k of either, so their prefixes share met(n) members, n the smaller size.
     """
+    keep = len(members) - -(-tenths * len(members) // 10) + met(len(members))
+    if not len(hot) or not len(members):
+        return members[:keep]
+    at = np.minimum(np.searchsorted(hot, members), len(hot) - 1)
+    order = np.where(hot[at] == members, rank[at] + 1, 0)
+    return members[np.argsort(order, kind="stable")[:keep]]
 
-    def make(text: str | None) -> tuple:
-        wide = fingerprint(text, shingle_words, WIDE_LANES).tobytes()
-        a, b = fingerprint(text, 1, VIEW_LANES).view("int64").tolist()
-        return a, b, wide
 
-    prints = staged(_printed(docs, "doc_id long, v0 long, v1 long, wide binary", make))
-    nodes = cut(
-        prints.groupBy("wide").agg(F.min("doc_id").alias("low"), F.min("v0").alias("v0"), F.min("v1").alias("v1")).withColumn("node", F.col("wide"))
-    )
-    found = links(nodes, radius, shard_rows, views=("v0", "v1"), check="wide", within=differing)
-    placed = grouped(nodes, found)
-    return prints.join(placed.withColumnRenamed("node", "wide"), "wide").select("doc_id", "component_id")
+def prefix_pairs(sets: DataFrame, groups: DataFrame, tenths: int) -> DataFrame:
+    """Distinct pairs (src, dst) of sets(node, n, shingles) whose prefixes meet often enough and whose sizes allow the similarity.
+
+    Every similar pair is among them, but for those of one group of groups(node, component). Rows of
+    sets may repeat.
+    """
+    spark = sets.sparkSession
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lo in range(0, len(batch), SLICE):
+                yield pd.DataFrame({"s": np.concatenate(list(batch["shingles"].iloc[lo : lo + SLICE]))})
+
+    some = sets.where(F.pmod(F.xxhash64("node", F.lit("order")), F.lit(HOT_SHARE)) == 0).select("shingles")
+    counted = some.mapInPandas(spread, "s long").groupBy("s").count().where(F.col("count") >= HOT_LEAST)
+    top = counted.orderBy(F.desc("count"), "s").limit(HOT_SHINGLES).toPandas()  # bounded; it only orders the prefixes
+    top = top.sort_values("s", ignore_index=True)
+    rank = np.empty(len(top), "int64")
+    rank[np.lexsort((top["s"], top["count"]))] = np.arange(len(top))
+    shipped = spark.sparkContext.broadcast((top["s"].to_numpy("int64"), rank))
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    parts = pieces(total * (10 - tenths) // 10, PART_SHINGLES)
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hot, ranks = shipped.value
+        done: set = set()  # a task's nodes
+        for batch in batches:
+            for lo in range(0, len(batch), SLICE):
+                own = batch.iloc[lo : lo + SLICE].drop_duplicates("node")
+                own = own[~own["node"].isin(done)]
+                if not len(own):
+                    continue
+                done.update(own["node"].tolist())
+                first = [prefix(np.asarray(s, "int64"), hot, ranks, tenths) for s in own["shingles"]]
+                sizes = [len(f) for f in first]
+                yield pd.DataFrame({"s": np.concatenate(first)} | {c: np.repeat(own[c].to_numpy("int64"), sizes) for c in ("node", "n")})
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates(["s", "node"]).sort_values(["s", "n", "node"], ignore_index=True)
+        s, node, n, group = (pdf[c].to_numpy("int64") for c in ("s", "node", "n", "group"))
+        ends = np.append(np.flatnonzero(np.diff(s)) + 1, len(s))
+        starts = np.append(0, ends[:-1])
+        runs: dict[bytes, list[int]] = {}  # shingles of the same nodes are counted at once
+        for lo, hi in zip(starts.tolist(), ends.tolist()):
+            if hi - lo > 1 and not (group[lo:hi] == group[lo]).all():
+                runs.setdefault(node[lo:hi].tobytes(), [lo, hi, 0])[2] += 1
+        found = [np.zeros((4, 0), "int64")]
+        for lo, hi, times in runs.values():
+            for i in range(lo, hi - 1):
+                to = i + 1 + int(np.searchsorted(n[i + 1 : hi], n[i] * 10 // tenths, "right"))
+                far = i + 1 + np.flatnonzero(group[i + 1 : to] != group[i])
+                if len(far):
+                    mine = np.full(len(far), node[i])
+                    found.append(np.stack([np.minimum(mine, node[far]), np.maximum(mine, node[far]), np.full(len(far), met(n[i])), np.full(len(far), times)]))
+        return pd.DataFrame(dict(zip(("src", "dst", "need", "k"), np.concatenate(found, 1)))).groupby(["src", "dst", "need"], as_index=False)["k"].sum()
+
+    dealt = sets.where("n > 0").select("node", "n", "shingles").mapInPandas(emit, "s long, node long, n long")
+    if groups.count() <= BROADCAST_NODES:
+        groups = F.broadcast(groups)
+    dealt = dealt.join(groups, "node", "left").select("s", "node", "n", F.coalesce("component", "node").alias("group"))
+    return dealt.groupBy(F.pmod(F.xxhash64("s"), F.lit(parts)).alias("part")).applyInPandas(meet, "src long, dst long, need long, k long").groupBy("src", "dst", "need").agg(F.sum("k").alias("k")).where("k >= need").select("src", "dst")
+
+
+def similar_documents(docs: DataFrame, shingle_words: int = 5, tenths: int = 8, differing: int = 42, radius: int = 3, shard_rows: int = 20_000) -> DataFrame:
+    """doc_id and component_id under links of documents whose shingle sets have a similarity of tenths / 10 or more.
+
+    Every link is proven on whole shingle sets (of 64-bit hashes), and no similar pair is lost. Two
+    exact vantage-point searches of small radius over fingerprints of single words, which a few
+    edits hardly move, give the first links: a spanning forest of what also agrees in a 256-bit
+    fingerprint of shingles, each link then verified. That joins most of every large group; the
+    pairs of different groups that are left come from a prefix-filter join, which is lossless, and
+    are verified as well. Equal sets are one node; texts without words are one node too.
+    """
+    shape = "doc_id long, node long, n long, v0 long, v1 long, wide binary, shingles array<bigint>"
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from xxhash import xxh3_64_intdigest
+
+        for batch in batches:
+            for lo in range(0, len(batch), SLICE):
+                own = batch.iloc[lo : lo + SLICE]
+                sets = [shingle_set(t, shingle_words) for t in own["text"]]
+                views = np.array([fingerprint(t, 1, VIEW_LANES).view("int64") for t in own["text"]])
+                names = np.array([xxh3_64_intdigest(s.tobytes()) for s in sets], "uint64").view("int64")
+                wide = [majority(np.stack([mixed(s.view("<u8"), i) for i in range(WIDE_LANES)], 1)).tobytes() if len(s) else bytes(8 * WIDE_LANES) for s in sets]
+                yield pd.DataFrame({"doc_id": own["doc_id"].astype("Int64").to_numpy(), "node": names, "n": [len(s) for s in sets], "v0": views[:, 0], "v1": views[:, 1], "wide": wide, "shingles": sets})
+
+    prints = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(make, shape))
+    nodes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("n").alias("n"), F.min("v0").alias("v0"), F.min("v1").alias("v1"), F.min("wide").alias("wide")))
+    forest_links = cut(links(nodes, radius, shard_rows, views=("v0", "v1"), check="wide", within=differing).where("src <> dst").distinct())
+    first = cut(verified(forest_links, prints, tenths))
+    groups = components(first)
+    rest = verified(cut(prefix_pairs(prints, groups, tenths)), prints, tenths)
+    named = grouped(nodes, first.unionByName(cut(rest)))
+    return prints.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")

@@ -247,6 +247,51 @@ def test_similar_documents(spark):
     assert got[13] == got[8] == 8 and got[10] == got[11] == 4 and got[14] == 14 and got[9] == 9
 
 
+def brute_similar(rows, k=5):
+    """Component ids under exact Jaccard similarities of at least 0.8 of all pairs."""
+    def sh(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+
+    sets = [sh(r[1]) for r in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    least = {}
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            least[find(i)] = min(least.get(find(i), r[0]), r[0])
+    return Counter((r[0], least.get(find(i))) for i, r in enumerate(rows))
+
+
+def test_similar_documents_against_exact_sets(spark):
+    from strandlake.llm.simhash import similar_documents
+
+    rng = __import__("random").Random(12)
+    texts = []
+    for n in (30, 60, 96, 200, 454) * 4:
+        base = fx.prose(rng, n).split()
+        texts.append(" ".join(base))
+        for edits in (1, 2, 3, 4, 6, 8, 10):  # on both sides of 0.8
+            other = list(base)
+            for i in rng.sample(range(n), max(1, n * edits // 250)):
+                other[i] = f"edit{rng.randrange(10**6)}"
+            texts.append(" ".join(other))
+    rows = fx.rows() + [(1000 + i, t, None, None, None, None, None, None) for i, t in enumerate(texts)]
+    want = brute_similar(rows)
+    assert Counter(map(tuple, similar_documents(fx.docs(spark, rows)).collect())) == want
+    assert len({c for d, c in want if d is not None and d >= 1000}) > 25
+
+
 # ------------------------------------------------------------------ 6 decontamination
 
 
