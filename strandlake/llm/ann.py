@@ -11,7 +11,9 @@ Buckets are joined in cells: a bucket with more rows than `cell_rows` on either
 both sides by salts from counts of every bucket, so that each (query, entry) pair of the bucket
 meets in exactly one cell and no task holds a hot bucket. No candidate is dropped.
 
-m grows with the logarithm of the number of distinct vectors; every row is indexed.
+m grows with the logarithm of the number of distinct vectors as far as the recall allows: the exact
+neighbours of `SAMPLE` queries among all vectors are found outright, and the largest m, with the
+fewest probes, whose buckets hold at least `TARGET` of them is taken. Every row is indexed.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components, and rows without an
 id, take no part; vectors of another length than the commonest are an error; fewer candidates give
@@ -32,6 +34,10 @@ from pyspark.sql import functions as F
 from .common import cut, pieces, staged
 
 
+#: Queries whose exact neighbours set m and the probes, and the share of these that must be found.
+SAMPLE, TARGET = 128, 0.95
+
+
 def probe_sets(m: int, probes: int) -> list[tuple[int, ...]]:
     """Sets of positions among 2m sorted border distances, by expected score, the empty one first."""
     score = []
@@ -111,6 +117,24 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInPandas(read, "vec_id long, key binary, vec binary")
 
 
+def success(hasher: StableHash, asked: np.ndarray, near: np.ndarray, sets: list[tuple[int, ...]]) -> float:
+    """Share of the pairs (asked[i], near[i]) of unit vectors that meet in some table."""
+    hit = np.zeros(len(asked), bool)
+    for t in range(hasher.tables):
+        hit |= (hasher.probes(asked, t, sets) == hasher.buckets(near, t)[:, None]).any(1)
+    return float(hit.mean())
+
+
+def tuned(asked: np.ndarray, near: np.ndarray, dim: int, tables: int, width: float, most: int, probes: int | None) -> tuple[int, int]:
+    """(m, probes) of the finest buckets in which TARGET of the neighbours are found."""
+    for m in range(most, 1, -1):
+        base = probes or 4 * max(m - 1, 4)
+        for n in [base] if probes else [base, 2 * base, 4 * base]:
+            if not len(asked) or success(StableHash(dim, tables, m, width), asked, near, probe_sets(m, n)) >= TARGET:
+                return m, n
+    return 2, probes or 64  # more than there are sets for m = 2
+
+
 def nearest(vectors: DataFrame, k: int = 5, every: int = 50, tables: int = 4, width: float = 3.0, probes: int | None = None, m: int | None = None, cell_rows: int = 20_000) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found for each query (ids divisible by every)."""
     rows = staged(usable(vectors))
@@ -121,9 +145,6 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, tables: int = 4, wi
     count = entries.count()
     first = entries.select(F.octet_length("vec").alias("n")).groupBy("n").count().orderBy(F.desc("count"), "n").first()
     dim = first["n"] // 8 if first else 1
-    m = m or min(24, max(2, round(math.log2(max(count, 2))) - 7))
-    sets = probe_sets(m, probes or 4 * max(m - 1, 4))
-    hasher = StableHash(dim, tables, m, width)
 
     def unit(batch: pd.DataFrame) -> np.ndarray:
         if any(len(v) != 8 * dim for v in batch["vec"]):
@@ -131,6 +152,29 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, tables: int = 4, wi
         x = np.frombuffer(b"".join(batch["vec"]), "float64").reshape(-1, dim)
         return x / np.sqrt((x * x).sum(1, keepdims=True))
 
+    wanted = entries.join(asked.select("key").distinct(), "key", "left_semi")
+    if m is None:
+        some = wanted.select("key", "vec").orderBy(F.xxhash64("key"), "key").limit(SAMPLE).toPandas()  # bounded
+        mine = unit(some) if len(some) else np.zeros((0, dim))
+        names = some["key"].tolist()
+
+        def outright(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch) and len(mine):
+                    near = mine @ unit(batch).T
+                    near[batch["key"].to_numpy()[None, :] == np.array(names, object)[:, None]] = -2
+                    keep = min(k, near.shape[1])
+                    at = np.argpartition(-near, keep - 1, axis=1)[:, :keep]
+                    q = np.repeat(np.arange(len(mine)), keep)
+                    yield pd.DataFrame({"q": q, "score": near[q, at.ravel()], "key": batch["key"].to_numpy()[at.ravel()], "vec": batch["vec"].to_numpy()[at.ravel()]})
+
+        first_k = Window.partitionBy("q").orderBy(F.desc("score"), "key")
+        pairs = entries.select("key", "vec").mapInPandas(outright, "q int, score double, key binary, vec binary").where("score > -2")
+        pairs = pairs.withColumn("_n", F.row_number().over(first_k)).where(F.col("_n") <= k).select("q", "vec").toPandas()  # at most k for each query
+        m, probes = tuned(mine[pairs["q"].to_numpy("int64")], unit(pairs) if len(pairs) else mine[:0], dim, tables, width, min(24, max(2, round(math.log2(max(count, 2))) - 7)), probes)
+    sets = probe_sets(m, probes or 4 * max(m - 1, 4))
+    hasher = StableHash(dim, tables, m, width)
+
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
@@ -148,7 +192,6 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, tables: int = 4, wi
 
     shape = "tab int, bucket long, ask boolean, key binary, ids array<long>, vec binary"
     items = entries.mapInPandas(index, shape)
-    wanted = entries.join(asked.select("key").distinct(), "key", "left_semi")
     questions = wanted.mapInPandas(ask, shape)
     both = items.unionByName(questions)
     sizes = cut(

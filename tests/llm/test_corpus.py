@@ -462,6 +462,29 @@ def test_recall_on_the_given_vectors(spark):
     assert hit / total >= 0.9
 
 
+@pytest.mark.parametrize("n", [100_000, 200_000])
+def test_recall_on_large_tables(spark, tmp_path, n):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from strandlake.llm.ann import nearest
+
+    x = np.random.default_rng(3).normal(size=(n, 64)).astype("float32")
+    path = str(tmp_path / "v.parquet")
+    vectors = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64).cast(pa.list_(pa.float32()))
+    pq.write_table(pa.table({"vec_id": pa.array(np.arange(n)), "embedding": vectors}), path)
+    got = defaultdict(set)
+    for r in nearest(spark.read.parquet(path), k=5, every=1_000).collect():
+        got[r.query_id].add(r.vec_id)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = 0
+    for q in range(0, n, 1_000):
+        s = unit @ unit[q]
+        s[q] = -9
+        hit += len(set(np.argpartition(-s, 5)[:5].tolist()) & got[q])
+    assert hit / (5 * n / 1_000) >= 0.9
+
+
 # ------------------------------------------------------------------ 10 quality
 
 
