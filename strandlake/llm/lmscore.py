@@ -7,8 +7,8 @@ document's score is the sum over its tokens.
 
 The vocabulary is the most frequent words of the whole corpus (counts of every word of every
 document, by a sharded aggregation); other words share hashed buckets, whose tokens count a word as
-likely as the bucket. Tokens are encoded once and kept as a table. Training covers every document:
-in each round a fixed share of all positions, chosen by hash, is masked and predicted, each task
+likely as the bucket. Tokens are encoded once and kept as a table. Training covers every position:
+each round masks and predicts one of `share` parts of all positions, dealt by hash, each task
 makes steps of AdaGrad over its own rows from the common start, and the tasks' results are averaged,
 weighted by their positions, in a two-level sum; only the averaged parameters, whose size is fixed,
 reach the driver. Numpy does all of it.
@@ -170,14 +170,25 @@ def document_logs(net: WindowNetwork, docs: list[np.ndarray]) -> np.ndarray:
     return sums[ends] - sums[ends - np.array([len(d) for d in docs], "int64")] if docs else np.zeros(0)
 
 
-def train_on(net: WindowNetwork, batches: Iterator[list[np.ndarray]], share: int, turn: int, rate: float = 0.1, step: int = 1_024) -> int:
-    """AdaGrad over the masked positions of this turn (one in `share`); returns how many there were."""
+def turns_of(docs: list[np.ndarray], share: int) -> np.ndarray:
+    """The turn of every position, by hash of its place and its document, so that it is the same in every round."""
+    from zlib import crc32
+
+    sizes = np.array([len(d) for d in docs], "int64")
+    place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    seed = np.repeat(np.array([crc32(d.tobytes()) for d in docs], "uint64"), sizes)
+    mix = (place.astype("uint64") + (seed << np.uint64(16))) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mix ^ (mix >> np.uint64(29))) >> np.uint64(20)) % np.uint64(share)
+
+
+def train_on(net: WindowNetwork, batches: Iterator[list[np.ndarray]], share: int, turn: int, rate: float = 0.1, least: int = 1_024, most: int = 8_192) -> int:
+    """AdaGrad over the masked positions of this turn (one in `share`), of least to most positions a step; returns how many there were."""
     energy = {n: np.full(net.p[n].shape, 1e-6, "float32") for n in net.NAMES}
     seen = 0
     for docs in batches:
         stream, places = windows(docs, net.reach)
-        mix = (np.arange(len(places), dtype="uint64") + np.uint64(seen)) * np.uint64(0x9E3779B97F4A7C15) + stream[places].astype("uint64")
-        masked = places[((mix >> np.uint64(33)) % np.uint64(share)) == np.uint64(turn % share)]
+        masked = places[turns_of(docs, share) == np.uint64(turn % share)]
+        step = max(least, min(most, len(masked) // 4))
         for lo in range(0, len(masked), step):
             at = masked[lo : lo + step]
             grads = {n: np.zeros_like(net.p[n]) for n in net.NAMES}
@@ -190,8 +201,9 @@ def train_on(net: WindowNetwork, batches: Iterator[list[np.ndarray]], share: int
     return seen
 
 
-def score(docs: DataFrame, size: int = 4_096, buckets: int = 1_024, width: int = 24, reach: int = 2, share: int = 16, rounds: int = 2, parts_sum: int = 64) -> DataFrame:
-    """doc_id, n_tokens, log_prob (their summed conditional log-probability) and mean_log_prob."""
+def score(docs: DataFrame, size: int = 4_096, buckets: int = 1_024, width: int = 24, reach: int = 2, share: int = 2, rounds: int | None = None, parts_sum: int = 64) -> DataFrame:
+    """doc_id, n_tokens, log_prob (their summed conditional log-probability) and mean_log_prob; rounds: `share`, so that each position is masked once."""
+    rounds = share if rounds is None else rounds
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 

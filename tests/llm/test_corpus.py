@@ -103,6 +103,20 @@ def test_network_gradients_and_normalisation():
         assert abs((after - before) / 1e-2 - grads[name][at]) < 0.05
 
 
+def test_every_position_is_trained_once():
+    import inspect
+
+    from strandlake.llm.lmscore import WindowNetwork, score, train_on
+
+    options = inspect.signature(score).parameters
+    share = options["share"].default
+    assert options["rounds"].default in (None, share)
+    docs = [np.random.default_rng(i).integers(1, 60, n) for i, n in enumerate([0, 1, 2, 3, 50, 700, 5])]
+    for k in (share, 5):
+        seen = [train_on(WindowNetwork(64, width=4), iter([docs[:4], docs[4:]]), k, turn) for turn in range(k)]
+        assert sum(seen) == sum(map(len, docs)) and min(seen) > 0
+
+
 # ------------------------------------------------------------------ 3 substrings
 
 
