@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,28 +15,106 @@ WORD_BREAK = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; a temporary one only on a single machine where the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not named:
         held = sc._jsc.sc().getCheckpointDir()
-        named = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="strandlake-")
+        if held.isDefined():
+            named = held.get()
+        elif sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+            named = tempfile.mkdtemp(prefix="strandlake-")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(named)
     return named
 
 
+#: Records of an Arrow batch sent to Python: texts of some KB each make a few MB.
+BATCH = 1_000
+
+
+@contextmanager
+def small_batches(spark: SparkSession, records: int = BATCH) -> Iterator[None]:
+    """Python workers get at most so many records at once in what is run inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(name))
+    spark.conf.set(name, str(min(before, records)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, str(before))
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: lineage ends there.
 
     Lost executors cost a reread, not a recomputation, and row numbering over the table is stable.
+    scratch() deletes the tables that are staged inside it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    if _open:
+        _open[-1].append((spark, path, None))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Like staged(), dealt into buckets by key: groupings and joins on key don't shuffle the table again."""
+    spark = df.sparkSession
+    name = f"strandlake_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}"
+    df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).option("compression", "zstd").option("path", path).saveAsTable(name)
+    if _open:
+        _open[-1].append((spark, path, name))
+    return spark.table(name)
+
+
+#: Tables staged by each scratch() that is open.
+_open: list[list[tuple[SparkSession, str, str | None]]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes on leaving all tables staged inside; nothing read from them may be used afterwards."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for spark, path, name in _open.pop():
+            if name:
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """staged(), but not deleted by the scratch() around it: the result that a scratch leaves behind."""
+    held, _open[:] = _open[:], []
+    try:
+        return staged(df)
+    finally:
+        _open[:] = held
+
+
+def tidy() -> None:
+    """Give memory that a Python worker has freed back to the system; the worker lives on for other stages."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        import pyarrow
+
+        pyarrow.default_memory_pool().release_unused()
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another libc or allocator: nothing to do
+        pass
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint, for small intermediate relations of iterations."""
     shared_dir(df.sparkSession)
@@ -74,4 +154,4 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-__all__ = ["WORD_BREAK", "components", "cut", "pieces", "shared_dir", "staged"]
+__all__ = ["WORD_BREAK", "bucketed", "components", "cut", "kept", "pieces", "scratch", "shared_dir", "small_batches", "staged", "tidy"]

@@ -68,12 +68,24 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 class FMIndex:
-    """Backward search for patterns of at most `depth` symbols; symbols are 0 .. sigma - 1."""
+    """Backward search for patterns of at most `depth` symbols; symbols are 0 .. sigma - 1.
 
-    def __init__(self, text: np.ndarray, sigma: int, depth: int):
-        self.order = suffix_order(text, depth + 1)
+    The suffix array isn't kept. What a search reports is the smallest of the `labels` of the places
+    in an interval, so the labels' ranks stand in suffix order instead, in 32 bits or fewer.
+    """
+
+    def __init__(self, text: np.ndarray, sigma: int, depth: int, labels: np.ndarray | None = None):
+        order = suffix_order(text, depth + 1)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])
-        self.bwt = WaveletMatrix(text[self.order - 1].astype("int64"), sigma)
+        self.bwt = WaveletMatrix(text[order - 1].astype("int64"), sigma)
+        if labels is not None:
+            self.values, ranks = np.unique(labels, return_inverse=True)
+            self.labels = ranks[order].astype("uint16" if len(self.values) <= 1 << 16 else "uint32")
+
+    def least(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The smallest label of each interval lo .. hi - 1; intervals are in order and apart."""
+        ranks = np.append(self.labels, 0)  # the last end may be the length
+        return self.values[np.minimum.reduceat(ranks, np.stack([lo, hi], 1).ravel())[::2]]
 
     def statistics(self, text: np.ndarray, at: np.ndarray, depth: int, least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Backward from each window text[p : p + depth]: (matched length, lo, hi).

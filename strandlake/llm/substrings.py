@@ -4,80 +4,77 @@ A window of `window` consecutive words is redundant in a document if its words a
 in a document with a smaller id; every word that a redundant window covers goes. Windows are judged
 on the input.
 
-Equal windows must meet in one shard. Each window is routed by its minimizer, the smallest hash among
-its `seed`-word shingles, and neighbouring windows with one minimizer travel together as a segment.
-A minimizer that only one document has can't take part and is dropped before any text moves. Equal
-segments collapse to one with its smallest id. A shard concatenates its segments, builds a suffix
-order to the depth of a window, the Burrows-Wheeler transform in a bit-packed wavelet matrix, and
-streams all windows of its segments backwards through it; the statistics tell how far each matches
-elsewhere, and the intervals at full length, with the smallest document of each, are reported.
-
-A minimizer with more than `segment_bound` different segments (a passage that very many documents
-embed differently) is taken apart window by window, each routed by its own hash, to the same index.
+The texts are dealt once into a bucketed table of groups of about `group_bytes`; all later passes
+read it in place, and only small packed arrays move. Equal windows must meet in one shard: each
+window is routed by its minimizer, the smallest hash among its `seed`-word shingles, and
+neighbouring windows with one minimizer travel together as a segment (of `most_windows` windows at
+most). Groups first send their minimizers alone; those of a single document can't take part, so the
+text of only the shared ones moves, each different segment of a group once. A shard concatenates
+its segments, builds a suffix order to the depth of a window, the Burrows-Wheeler transform in a
+bit-packed wavelet matrix, and streams all windows of its segments backwards through it; the
+matching statistics tell how far each matches elsewhere, and the intervals at full length, with the
+smallest document of each, give the word ranges that every document loses.
+
+A minimizer of more than `segment_bound` documents (a passage that very many embed differently) is
+taken apart: its windows travel one by one, routed by their own hash, to the same index. A window
+costs its shard one short row for each group that holds it.
+
+Documents whose whole text equals that of a smaller id lose all windows; while the counted list of
+such texts is under `broadcast_rows`, they are known beforehand and send nothing.
 
 Edge cases: null texts have no words; documents without an id come after all others, so they lose
-words to them but take none; rows with one id don't take from each other; texts shorter than a
-window keep all words; empty tables give no rows; further columns are ignored.
+words to them but take none; rows with one id, or repeated rows, don't take from each other; texts
+shorter than a window keep all words; very long texts are one group of their own size, cut into
+segments like any other; empty tables give no rows; further columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pieces, staged
+from .common import bucketed, pieces, staged, tidy
 from .fmindex import FMIndex
+from .words import Words, grams, mix, span_hashes
 
 LAST = (1 << 63) - 1
+SPANS = np.dtype([("doc", "<i4"), ("first", "<i4"), ("last", "<i4")])
+PLACES = np.dtype([("segment", "<i4"), ("doc", "<i4"), ("first", "<i4"), ("d", "<i8")])
 
 
-def split_words(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").split() if text else []
-
-
-def _mix(z: np.ndarray) -> np.ndarray:
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
-
-def segments(words: list[list[bytes]], window: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, first window, last window, minimizer) of every segment of some word lists."""
-    from xxhash import xxh64_intdigest
-
-    sizes = np.array([len(w) for w in words], "int64")
-    flat = np.array([xxh64_intdigest(x) for w in words for x in w], "uint64")
+def segments(sizes: np.ndarray, hashes: np.ndarray, window: int, seed: int, most: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first window, last window, minimizer) of every segment; windows are numbered in the joined words."""
     empty = np.zeros(0, "int64")
-    n = len(flat) - window + 1
+    n = len(hashes) - window + 1
     if n <= 0:
-        return empty, empty, empty, empty
-    gram = np.zeros(len(flat) - seed + 1, "uint64")
-    for j in range(seed):
-        gram = gram * np.uint64(0x9E3779B97F4A7C15) + flat[j : j + len(gram)]
-    low, width = _mix(gram), 1
+        return empty, empty, empty, empty.astype("uint64")
+    low, width = grams(hashes, seed), 1
     span = window - seed + 1
     while width < span:  # sliding minimum by doubling
         step = min(width, span - width)
         low = np.minimum(low[:-step], low[step:])
         width += step
     low = low[:n]
-    doc = np.repeat(np.arange(len(words)), sizes)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
     inside = doc[:n] == doc[window - 1 :]
     edge = np.ones(n, bool)
     edge[1:] = (low[1:] != low[:-1]) | (doc[1:n] != doc[: n - 1])
+    begun = np.maximum.accumulate(np.where(edge, np.arange(n), 0))
+    edge |= (np.arange(n) - begun) % most == 0
     first = np.flatnonzero(inside & edge)
-    ends = np.flatnonzero(inside & np.append(edge[1:] | ~inside[1:], True))
-    starts = np.cumsum(sizes) - sizes
-    return doc[first], first - starts[doc[first]], ends - starts[doc[first]], low[first].view("int64")
+    last = np.flatnonzero(inside & np.append(edge[1:] | ~inside[1:], True))
+    return doc[first], first, last, low[first]
 
 
 def judge(contents: list[bytes], lows: np.ndarray, window: int) -> list[np.ndarray]:
     """For each segment the smallest low of any segment that holds each of its windows."""
+    if not contents:
+        return []
     split = [c.split(b" ") for c in contents]
     flat = [w for ws in split for w in ws]
     ids = {w: i for i, w in enumerate(dict.fromkeys(flat), 1)}
@@ -89,139 +86,174 @@ def judge(contents: list[bytes], lows: np.ndarray, window: int) -> list[np.ndarr
     text[mask] = np.fromiter(map(ids.__getitem__, flat), "int64", len(flat))
     owner = np.repeat(np.arange(len(split)), sizes + 1)
     counts = sizes - window + 1
-    at = np.concatenate([np.arange(s, s + c) for s, c in zip(starts.tolist(), counts.tolist())])
+    at = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
     best = lows[owner[at]].copy()
-    index = FMIndex(text, len(ids) + 1, window)
+    index = FMIndex(text, len(ids) + 1, window, lows[owner])
     length, lo, hi = index.statistics(text, at, window)
     full = np.flatnonzero(length == window)
     if len(full):
         left, back = np.unique(lo[full], return_inverse=True)
         right = np.zeros(len(left), "int64")
         right[back] = hi[full]
-        ordered = np.append(lows[owner[index.order]], LAST)
-        least = np.minimum.reduceat(ordered, np.stack([left, right], 1).ravel())[::2]
-        best[full] = least[back]
+        best[full] = index.least(left, right)[back]
     return np.split(best, np.cumsum(counts)[:-1])
 
 
-def deduplicate(docs: DataFrame, window: int = 13, seed: int = 4, shard_words: int = 250_000, segment_bound: int = 20_000) -> DataFrame:
+def deduplicate(docs: DataFrame, window: int = 13, seed: int = 4, shard_words: int = 250_000, segment_bound: int = 20_000, group_bytes: int = 1 << 20, bucket_bytes: int = 32 << 20, part_rows: int = 500_000, most_windows: int = 256, broadcast_rows: int = 300_000) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text and the removed word spans of every document."""
-    text = F.col("text").cast("string")
-    ident = F.col("doc_id").cast("long")
-    keyed = docs.select(
-        ident.alias("doc_id"), text.alias("text"), F.coalesce(ident, F.lit(LAST)).alias("d"), F.xxhash64(F.coalesce(ident, F.lit(LAST)), F.coalesce(text, F.lit(""))).alias("k")
-    )
-
-    def minimizers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for lo in range(0, len(batch), 128):
-                part = batch.iloc[lo : lo + 128]
-                doc, _, _, m = segments([split_words(t) for t in part["text"]], window, seed)
-                yield pd.DataFrame({"m": m, "k": part["k"].to_numpy()[doc]}).drop_duplicates()
-
-    rows = keyed.select("text", "k").mapInPandas(minimizers, "m long, k long")
-    shared = rows.groupBy("m").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").select("m")
-    marks = rows.join(shared, "m").groupBy("k").agg(F.collect_set("m").alias("marks"))
-    marked = keyed.join(marks, "k", "left")
-
-    def cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from zlib import crc32
-
-        from xxhash import xxh64_intdigest
-
-        for batch in batches:
-            for lo in range(0, len(batch), 128):
-                part = batch.iloc[lo : lo + 128]
-                words = [split_words(t) for t in part["text"]]
-                doc, first, last, m = segments(words, window, seed)
-                wanted = [None if x is None else set(x.tolist() if hasattr(x, "tolist") else x) for x in part["marks"]]
-                own: list[list] = [[] for _ in words]
-                for i, a, b, mm in zip(doc.tolist(), first.tolist(), last.tolist(), m.tolist()):
-                    if wanted[i] and mm in wanted[i]:
-                        content = b" ".join(words[i][a : b + window])
-                        own[i].append({"m": mm, "start": a, "words": b + window - a, "h1": xxh64_intdigest(content, 1) - (1 << 63), "h2": crc32(content) - (1 << 31)})
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "d": part["d"], "k": part["k"], "n_words": [len(w) for w in words], "kept": [b" ".join(w) for w in words], "segments": own})
-
-    shape = "doc_id long, d long, k long, n_words long, kept binary, segments array<struct<m:long,start:long,words:int,h1:long,h2:int>>"
-    table = staged(marked.select("doc_id", "d", "k", "text", "marks").mapInPandas(cut_out, shape))
-    each = table.where(F.size("segments") > 0).select("d", "k", F.explode("segments").alias("s")).select("d", "k", "s.start", "s.h1", "s.h2")
-
-    def contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part = batch.iloc[lo : lo + 256]
-                made: dict = {}
-                for d, raw, found in zip(part["d"].tolist(), part["kept"], part["segments"]):
-                    words = bytes(raw).split(b" ")
-                    for s in found:
-                        key = (s["m"], s["h1"], s["h2"])
-                        old = made.get(key)
-                        if old is None:
-                            made[key] = [1, d, b" ".join(words[s["start"] : s["start"] + s["words"]])]
-                        else:
-                            old[0] += 1
-                            old[1] = min(old[1], d)
-                yield pd.DataFrame({"m": [x[0] for x in made], "h1": [x[1] for x in made], "h2": [x[2] for x in made], "n": [v[0] for v in made.values()], "d": [v[1] for v in made.values()], "content": [v[2] for v in made.values()]})
-
-    texts = table.where(F.size("segments") > 0).select("d", "kept", "segments").mapInPandas(contents, "m long, h1 long, h2 int, n long, d long, content binary")
-    unique = staged(texts.groupBy("m", "h1", "h2").agg(F.sum("n").alias("n"), F.min("d").alias("low"), F.min("content").alias("content")))
-    per = unique.groupBy("m").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > segment_bound).select("m")
-    per = cut(per)
-    crowded = per.count()
-    total = unique.agg(F.sum(F.octet_length("content"))).first()[0] or 0
-    shards = pieces(total // 6, shard_words)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = pieces(total, group_bytes)
+    buckets = min(groups, pieces(total, bucket_bytes))
+    parts = pieces(total // 30, part_rows)  # about a minimizer for so many bytes
+
+    # texts that occur again under another id, with the smallest id; only a shortcut, so it is left out beyond the bound
+    whole = [F.xxhash64("text").alias("_h1"), F.hash("text").alias("_h2"), F.octet_length("text").alias("_h3")]
+    d = F.coalesce("doc_id", F.lit(LAST))
+    again = keyed.where("text is not null").select(*whole, d.alias("d")).groupBy("_h1", "_h2", "_h3").agg(F.min("d").alias("least"), F.max("d").alias("_most")).where("least < _most").drop("_most")
+    again = staged(again)
+    placed = keyed.select("doc_id", "text", *whole, F.monotonically_increasing_id().alias("at"))
+    if again.count() <= broadcast_rows:
+        placed = placed.join(F.broadcast(again), ["_h1", "_h2", "_h3"], "left")
+    else:
+        placed = placed.withColumn("least", F.lit(None).cast("long"))
+    table = bucketed(placed.select("doc_id", d.alias("d"), "text", "at", (F.coalesce("least", F.lit(LAST)) < d).alias("copy"), F.pmod(F.xxhash64("at"), F.lit(groups)).alias("g")), "g", buckets)
+
+    def cut_up(own: pd.DataFrame) -> tuple[Words, np.ndarray, tuple]:
+        """Words, their hashes and the segments of a group's documents, in the order of `at`."""
+        words = Words(t if not copy else None for t, copy in zip(own["text"], own["copy"]))
+        hashes = words.hashes()
+        return words, hashes, segments(words.sizes, hashes, window, seed, most_windows)
+
+    def minimizers(own: pd.DataFrame) -> pd.DataFrame:
+        _, _, (doc, _, _, m) = cut_up(own.sort_values("at"))
+        order = np.lexsort((doc, m))
+        m, doc = m[order], doc[order]
+        new = np.append(True, (m[1:] != m[:-1]) | (doc[1:] != doc[:-1])) if len(m) else np.zeros(0, bool)
+        m, n = np.unique(m[new], return_counts=True)
+        part = (m % np.uint64(parts)).astype("int64")
+        order = np.argsort(part, kind="stable")
+        m, n, part = m[order], n[order].astype("<u4"), part[order]
+        edges = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+        return pd.DataFrame({"part": part[edges[:-1]], "g": own["g"].iloc[0], "m": [m[a:b].tobytes() for a, b in zip(edges, edges[1:])], "n": [n[a:b].tobytes() for a, b in zip(edges, edges[1:])]})
+
+    def shared(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf["m"].str.len().to_numpy("int64") // 8
+        m, n = np.frombuffer(b"".join(pdf["m"]), "<u8"), np.frombuffer(b"".join(pdf["n"]), "<u4").astype("int64")
+        group = np.repeat(np.arange(len(pdf)), own)
+        _, back = np.unique(m, return_inverse=True)
+        held = np.bincount(back, n)[back]
+        keep = held > 1
+        ends = np.cumsum(np.bincount(group[keep], minlength=len(pdf)))
+        m, crowded = m[keep], held[keep] > segment_bound
+        cuts = list(zip(np.append(0, ends[:-1]), ends))
+        out = pd.DataFrame({"g": pdf["g"], "m": [m[a:b].tobytes() for a, b in cuts], "crowded": [crowded[a:b].tobytes() for a, b in cuts]})
+        tidy()
+        return out[out["m"].str.len() > 0]
+
+    rows = table.groupBy("g").applyInPandas(minimizers, "part long, g long, m binary, n binary")
+    marks = staged(rows.groupBy("part").applyInPandas(shared, "g long, m binary, crowded binary"))
+    moved = marks.agg(F.sum(F.octet_length("m"))).first()[0] or 0
+    shards = pieces(moved // 8 * 16, shard_words)  # about 16 words a segment
+
+    def contents(own: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"shard": [], "g": [], "lows": [], "content": [], "places": []})
+        if not len(own) or not len(marks):
+            return empty
+        own = own.sort_values("at")
+        words, hashes, (doc, first, last, m) = cut_up(own)
+        wanted, crowded = np.frombuffer(b"".join(marks["m"]), "<u8"), np.frombuffer(b"".join(marks["crowded"]), bool)
+        order = np.argsort(wanted)
+        wanted, crowded = wanted[order], crowded[order]
+        at = np.minimum(np.searchsorted(wanted, m), len(wanted) - 1)
+        keep = wanted[at] == m
+        doc, first, last, m, apart = doc[keep], first[keep], last[keep], m[keep], crowded[at[keep]]
+        if apart.any():  # one segment a window
+            n = np.where(apart, last - first + 1, 1)
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            doc, m, single = np.repeat(doc, n), np.repeat(m, n), np.repeat(apart, n)
+            first, last = np.repeat(first, n) + step, np.where(single, np.repeat(first, n) + step, np.repeat(last, n))
+            m = np.where(single, span_hashes(hashes, first, first + window)[0], m)
+        if not len(m):
+            return empty
+        h1, h2 = span_hashes(hashes, first, last + window)
+        shard = (mix(m) % np.uint64(shards)).astype("int64")
+        lows = own["d"].to_numpy("int64")[doc]
+        order = np.lexsort((lows, h2, h1, shard))
+        doc, first, last, shard, lows, h1, h2 = (x[order] for x in (doc, first, last, shard, lows, h1, h2))
+        new = np.append(True, (shard[1:] != shard[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))
+        ids = np.cumsum(new) - 1
+        edges = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard))
+        where = np.zeros(len(doc), PLACES)
+        where["doc"], where["first"], where["d"] = doc, first - words.first[doc], lows
+        out = []
+        for a, b in zip(edges.tolist(), edges[1:].tolist()):
+            where["segment"][a:b] = ids[a:b] - ids[a]
+            heads = np.flatnonzero(new[a:b]) + a
+            out.append((int(shard[a]), lows[heads].tobytes(), b"\n".join([words.slice(i, j) for i, j in zip(first[heads].tolist(), (last[heads] + window).tolist())]), where[a:b].tobytes()))
+        return pd.DataFrame(out, columns=["shard", "lows", "content", "places"]).assign(g=own["g"].iloc[0])[["shard", "g", "lows", "content", "places"]]
 
     def index(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = judge(pdf["content"].tolist(), pdf["low"].to_numpy("int64"), window)
-        # a segment of one document that no other segment shares a window with removes nothing
-        use = [i for i, (n, low, f) in enumerate(zip(pdf["n"], pdf["low"], found)) if n > 1 or (f < low).any()]
-        return pd.DataFrame({"h1": pdf["h1"].iloc[use], "h2": pdf["h2"].iloc[use], "lows": [list(found[i]) for i in use]})
-
-    out = "h1 long, h2 int, lows array<long>"
-    plain = unique.join(F.broadcast(per), "m", "left_anti") if 0 < crowded <= 100_000 else unique.join(per, "m", "left_anti") if crowded else unique
-    judged = plain.withColumn("shard", F.pmod(F.xxhash64("m"), F.lit(shards))).groupBy("shard").applyInPandas(index, out)
-    if crowded:
-        def apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                made = [(h1, h2, i, b" ".join(w[i : i + window]), low) for h1, h2, content, low in zip(batch["h1"], batch["h2"], batch["content"], batch["low"]) for w in [content.split(b" ")] for i in range(len(w) - window + 1)]
-                yield pd.DataFrame(made, columns=["s1", "s2", "i", "content", "low"])
-
-        single = staged(unique.join(per, "m").mapInPandas(apart, "s1 long, s2 int, i int, content binary, low long").withColumn("h1", F.xxhash64("content")).withColumn("h2", F.hash("content")))
-        one = single.groupBy("h1", "h2").agg(F.min("low").alias("low"), F.min("content").alias("content"), F.lit(2).alias("n"))
-        alone = one.withColumn("shard", F.pmod(F.col("h1"), F.lit(shards))).groupBy("shard").applyInPandas(index, out)
-        back = single.select("s1", "s2", "i", "h1", "h2").join(alone, ["h1", "h2"]).groupBy("s1", "s2").agg(F.array_sort(F.collect_list(F.struct("i", F.element_at("lows", 1).alias("low")))).alias("all"))
-        judged = judged.unionByName(back.select(F.col("s1").alias("h1"), F.col("s2").alias("h2"), F.col("all.low").alias("lows")))
-    # only segments that some document loses words by
-    judged = staged(judged)
-    hits = each.select("d", "k", "start", "h1", "h2").join(judged, ["h1", "h2"]).select(
-        "d", "k", F.filter(F.transform("lows", lambda v, i: F.when(v < F.col("d"), F.col("start") + i)), lambda v: v.isNotNull()).alias("at")
-    ).where(F.size("at") > 0)
-    lost = hits.groupBy("d", "k").agg(F.flatten(F.collect_list("at")).alias("at"))
-
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            removed, kept, spans = [], [], []
-            for n, raw, at in zip(batch["n_words"], batch["kept"], batch["at"]):
-                if at is None:
-                    removed.append(0)
-                    kept.append(bytes(raw).decode("utf-8", "replace"))
-                    spans.append([])
-                    continue
-                edges = np.zeros(n + 1, "int64")
-                np.add.at(edges, np.asarray(at, "int64"), 1)
-                np.add.at(edges, np.asarray(at, "int64") + window, -1)
-                gone = np.cumsum(edges[:-1]) > 0
-                words = bytes(raw).split(b" ")
-                kept.append(b" ".join([words[i] for i in np.flatnonzero(~gone)]).decode("utf-8", "replace"))
-                removed.append(int(gone.sum()))
+        """The word spans that documents lose, by group."""
+        texts = [c.split(b"\n") for c in pdf["content"]]
+        flat = [t for own in texts for t in own]
+        ids = {t: i for i, t in enumerate(dict.fromkeys(flat))}
+        of = np.fromiter(map(ids.__getitem__, flat), "int64", len(flat))
+        lows = np.full(len(ids), LAST)
+        np.minimum.at(lows, of, np.frombuffer(b"".join(pdf["lows"]), "int64"))
+        best = judge(list(ids), lows, window)
+        sizes = np.array([len(b) for b in best])
+        starts, best = np.cumsum(sizes) - sizes, np.concatenate(best)
+        where = np.frombuffer(b"".join(pdf["places"]), PLACES)
+        per = pdf["places"].str.len().to_numpy("int64") // PLACES.itemsize
+        row = np.repeat(np.arange(len(pdf)), per)
+        begins = np.cumsum([0] + [len(t) for t in texts])[:-1]
+        segment = of[begins[row] + where["segment"]]
+        # every window of every place
+        n = sizes[segment]
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        lost = best[np.repeat(starts[segment], n) + step] < np.repeat(where["d"], n)
+        place, step = np.repeat(np.arange(len(where)), n)[lost], step[lost]
+        head = np.append(True, (place[1:] != place[:-1]) | (step[1:] != step[:-1] + 1)) if len(place) else np.zeros(0, bool)
+        tail = np.append(head[1:], True) if len(place) else head
+        out = np.zeros(int(head.sum()), SPANS)
+        out["doc"], out["first"] = where["doc"][place[head]], where["first"][place[head]] + step[head]
+        out["last"] = where["first"][place[tail]] + step[tail] + window
+        ends = np.cumsum(np.bincount(row[place[head]], minlength=len(pdf)))
+        spans = [out[a:b].tobytes() for a, b in zip(np.append(0, ends[:-1]), ends)]
+        tidy()
+        found = pd.DataFrame({"g": pdf["g"], "spans": spans})
+        return found[found["spans"].str.len() > 0]
+
+    moved = table.groupBy("g").cogroup(marks.repartition(buckets, "g").groupBy("g")).applyInPandas(contents, "shard long, g long, lows binary, content binary, places binary")
+    lost = staged(moved.groupBy("shard").applyInPandas(index, "g long, spans binary"))
+
+    def finish(own: pd.DataFrame, lost: pd.DataFrame) -> pd.DataFrame:
+        out: dict[str, list] = {"doc_id": [], "n_words": [], "n_removed": [], "kept_text": [], "spans": []}
+        if len(own):
+            own = own.sort_values("at")
+            found = np.frombuffer(b"".join(lost["spans"]), SPANS)
+            found = found[np.argsort(found["doc"], kind="stable")]
+            edges = np.searchsorted(found["doc"], np.arange(len(own) + 1))
+            for i, (ident, text, copy) in enumerate(zip(own["doc_id"], own["text"], own["copy"])):
+                words = text.encode("utf-8", "surrogatepass").split() if text else []
+                mine = found[edges[i] : edges[i + 1]]
+                gone = np.zeros(len(words) + 1, "int64")
+                if copy and len(words) >= window:
+                    gone[0] = 1
+                np.add.at(gone, mine["first"], 1)
+                np.add.at(gone, mine["last"], -1)
+                gone = np.cumsum(gone[:-1]) > 0
                 flips = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype("int8"), [0]]))).reshape(-1, 2)
-                spans.append([{"start": a, "end": b} for a, b in flips.tolist()])
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_words": batch["n_words"], "n_removed": removed, "kept_text": kept, "spans": spans})
-
-    untouched = "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<start:long,end:long>>"
-    maybe = table.where(F.size("segments") > 0).select("doc_id", "d", "k", "n_words", "kept").join(lost, ["d", "k"], "left").select("doc_id", "n_words", "kept", "at")
-    never = table.where(F.size("segments") == 0).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("kept").cast("string").alias("kept_text"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"))
-    return maybe.mapInPandas(finish, untouched).unionByName(never)
+                out["doc_id"].append(None if pd.isna(ident) else int(ident))
+                out["n_words"].append(len(words))
+                out["n_removed"].append(int(gone.sum()))
+                out["kept_text"].append((b" ".join([words[k] for k in np.flatnonzero(~gone)]) if len(mine) or copy else b" ".join(words)).decode("utf-8", "replace"))
+                out["spans"].append([{"start": a, "end": b} for a, b in flips.tolist()])
+        return pd.DataFrame(out).astype({"doc_id": "Int64"})
+
+    shape = "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<start:long,end:long>>"
+    return table.select("g", "doc_id", "text", "at", "copy").groupBy("g").cogroup(lost.repartition(buckets, "g").groupBy("g")).applyInPandas(finish, shape)
 
 
 def digest(words: list[bytes]) -> str:
