@@ -11,7 +11,8 @@ size by their place in the staged piece table, packed longest first in one task
 wastes at most its last, part-filled sequences, so the loss does not grow with the input.
 
 Edge cases: null text is empty and makes one piece of the separator alone; documents without an id,
-and repeated rows, are packed like any other row; an empty table gives no rows; further columns,
+and repeated rows, are packed like any other row; an empty table gives no rows; very long texts are
+encoded whole and cut into full pieces; of bins of one worth the oldest wins; further columns,
 whatever their names, are not looked at.
 """
 
@@ -36,6 +37,8 @@ _RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|\n|[^a-z0-9
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Entries that a worker remembers, of words and of runs.
 REMEMBERED = 600_000
+#: Texts encoded together; their words are in memory at once.
+AT_ONCE = 256
 _NONE = np.int64(1 << 40)
 
 
@@ -143,9 +146,11 @@ class WordEncoder:
     the tokenizer itself for any other.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
+        self.remembered = remembered
+
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             self.merger = PairMerger(json.load(f)["model"])
@@ -176,7 +181,7 @@ class WordEncoder:
                 parts = []
             else:
                 parts.append(own[run])
-        if len(known) < REMEMBERED:
+        if len(known) < self.remembered:
             known.update(fresh)
         return made
 
@@ -185,12 +190,12 @@ class WordEncoder:
         known = self.words
         unseen = [w for w in set().union(*split) if w not in known]
         made = self._learn(unseen) if unseen else {}
-        if len(known) + len(made) <= REMEMBERED:
+        if len(known) + len(made) <= self.remembered:
             known.update(made)
             look = known.__getitem__
             return [b"".join(map(look, words)) for words in split]
-        get, rest = known.get, made.__getitem__
-        return [b"".join([get(w) or rest(w) for w in words]) for words in split]
+        get, rest = known.get, made.__getitem__  # a word's ids may be none at all, so b"" isn't a miss
+        return [b"".join([rest(w) if (ids := get(w)) is None else ids for w in words]) for words in split]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -211,12 +216,14 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = 2048, separator: i
         encode = encoder(tokenizer).encode
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
-            for doc, ids in zip(batch["doc_id"].tolist(), encode(batch["text"].tolist())):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    for column, value in zip(out, (None if doc is None or doc != doc else int(doc), k, at // 4, len(part) // 4, zlib.crc32(part))):
-                        column.append(value)
+            for lo in range(0, len(batch), AT_ONCE):
+                part_of = batch.iloc[lo : lo + AT_ONCE]
+                for doc, ids in zip(part_of["doc_id"].astype("Int64").tolist(), encode(part_of["text"].tolist())):
+                    ids += end
+                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        for column, value in zip(out, (None if doc is pd.NA else doc, k, at // 4, len(part) // 4, zlib.crc32(part))):
+                            column.append(value)
             yield pd.DataFrame({"doc_id": pd.array(out[0], "Int64"), "piece": np.array(out[1], "int32"), "start": np.array(out[2], "int64"), "length": np.array(out[3], "int64"), "ids_crc32": np.array(out[4], "int64")})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(cut_up, PIECE_SCHEMA)

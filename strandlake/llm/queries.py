@@ -76,8 +76,7 @@ def op9_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import classify
 
-    out = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return out.select("doc_id", "lang", F.col("_n").alias("n_words"), "perplexity", "threshold", "keep")
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -28,7 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, pieces, staged
+from .common import components, cut, kept, pieces, scratch, small_batches, staged, tidy
+from .words import Words, bit_majority, grams, mix
 
 SEED = 42
 #: Rows compared outright at the end of a branch, and queries compared at once.
@@ -49,19 +50,12 @@ def shingles(words: list[bytes], k: int) -> list[bytes]:
 
 def majority(hashes: np.ndarray) -> np.ndarray:
     """Rows of 64-bit hashes (n, lanes) to one fingerprint of lanes * 64 bits."""
-    n, lanes = hashes.shape
-    ones = np.unpackbits(np.ascontiguousarray(hashes).view(np.uint8).reshape(n, lanes * 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(ones * 2 > n, bitorder="little").view("<u8")
+    return np.concatenate([bit_majority(np.ascontiguousarray(lane), np.array([len(lane)])) for lane in hashes.astype("<u8").T])
 
 
 def mixed(h: np.ndarray, lane: int) -> np.ndarray:
-    """Another 64 hash bits from a hash (the finalizer of splitmix64); lane 0 is the hash itself."""
-    if not lane:
-        return h
-    z = h + np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << 64))
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
+    """Another 64 hash bits from a hash; lane 0 is the hash itself."""
+    return mix(h + np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << 64))) if lane else h
 
 
 def fingerprint(text: str | None, k: int = 3, lanes: int = 1) -> np.ndarray:
@@ -278,19 +272,26 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = 2, sh
 
 #: 64-bit lanes of the wide check fingerprint, and of the search views.
 WIDE_LANES, VIEW_LANES = 4, 2
-#: Shingles that sort last in prefixes: at most so many, of those found this often in one node of HOT_SHARE.
+#: Shingles that sort last in prefixes: at most so many, of those found this often in one text of HOT_SHARE.
 HOT_SHINGLES, HOT_LEAST, HOT_SHARE = 500_000, 3, 16
-#: Nodes handled at once, and prefix shingles in a task.
-SLICE, PART_SHINGLES = 512, 400_000
+#: Texts handled at once, prefix shingles in a task, and pairs verified in one.
+SLICE, PART_SHINGLES, PART_PAIRS = 256, 400_000, 2_000
 #: Nodes that are broadcast at most; more are joined by a shuffle.
 BROADCAST_NODES = 500_000
+#: Partners of one node that are verified together.
+CELL_PAIRS = 64
 
 
-def shingle_set(text: str | None, k: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's k-word shingles."""
-    from xxhash import xxh64_intdigest
-
-    return np.unique(np.array([xxh64_intdigest(p, SEED) for p in set(shingles(words_of(text), k))], "<u8").view("<i8"))
+def shingle_sets(texts, k: int) -> tuple[list[np.ndarray], Words, np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's k-word shingles (of the whole text if shorter), its words and their hashes."""
+    words = Words(texts, lower=True)
+    hashes = words.hashes()
+    whole = grams(hashes, k)
+    sets = []
+    for a, n in zip(words.first.tolist(), words.sizes.tolist()):
+        own = whole[a : a + n - k + 1] if n >= k else grams(hashes[a : a + n], n) if n else hashes[:0]
+        sets.append(np.unique(own.view("<i8")))
+    return sets, words, hashes
 
 
 def similar_sets(a: int, b: int, both: int, tenths: int = 8) -> bool:
@@ -298,16 +299,48 @@ def similar_sets(a: int, b: int, both: int, tenths: int = 8) -> bool:
     return (10 + tenths) * both >= tenths * (a + b)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
-    """The rows of pairs(src, dst) whose sets(node, shingles) are similar, by whole sets; sets may repeat, pairs must be stored."""
-    named = cut(pairs.select(F.col("src").alias("node")).unionByName(pairs.select(F.col("dst").alias("node"))).distinct())
-    if named.count() <= BROADCAST_NODES:
-        named = F.broadcast(named)
-    own = staged(sets.select("node", "shingles").join(named, "node", "left_semi").dropDuplicates(["node"]))
-    left = own.select(F.col("node").alias("src"), F.col("shingles").alias("_a"))
-    right = own.select(F.col("node").alias("dst"), F.col("shingles").alias("_b"))
-    held = pairs.join(left, "src").join(right, "dst")
-    return held.where(similar_sets(F.size("_a"), F.size("_b"), F.size(F.array_intersect("_a", "_b")), tenths)).select("src", "dst")
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a 64-bit key of the text."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("key"))
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle_words: int, tenths: int) -> DataFrame:
+    """The rows of pairs(src, dst) whose whole shingle sets are similar; pairs must be stored.
+
+    A pair is judged in a cell of its src, which holds the text of src and those of CELL_PAIRS partners
+    or so; only the text of nodes(node, key, low) that are named in a pair moves.
+    """
+    parts = pieces(pairs.count(), PART_PAIRS)
+    cells = pairs.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / CELL_PAIRS).cast("int").alias("cells"))
+    placed = pairs.join(cells, "src").withColumn("cell", F.pmod(F.xxhash64("dst", F.lit("cell")), F.col("cells")))
+    placed = staged(placed.withColumn("part", F.pmod(F.xxhash64("src", "cell"), F.lit(parts))).select("src", "dst", "part"))
+    where = placed.select(F.col("src").alias("node"), "part").unionByName(placed.select(F.col("dst").alias("node"), "part")).distinct()
+    where = staged(where.join(nodes.select("node", "key", "low"), "node"))
+    once = F.broadcast(where) if where.count() <= BROADCAST_NODES else where
+    named = keyed_texts(docs).alias("t").join(once.alias("w"), (F.col("t.key") == F.col("w.key")) & F.col("t.doc_id").eqNullSafe(F.col("w.low"))).select("part", "node", "text")
+
+    def first_in_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done: set = set()  # rows that repeat an id and text
+        for batch in batches:
+            fresh = [k not in done and not done.add(k) for k in zip(batch["part"].tolist(), batch["node"].tolist())]
+            yield batch[fresh]
+
+    texts = named.mapInPandas(first_in_task, "part long, node long, text string").select("*", F.lit(0).cast("long").alias("other"), F.lit(False).alias("ask"))
+    rows = texts.unionByName(placed.select("part", F.col("src").alias("node"), F.lit(None).cast("string").alias("text"), F.col("dst").alias("other"), F.lit(True).alias("ask")))
+
+    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf[~pdf["ask"]].drop_duplicates("node")
+        sets: dict[int, np.ndarray] = {}
+        for lo in range(0, len(own), SLICE):
+            some = own.iloc[lo : lo + SLICE]
+            sets.update(zip(some["node"].tolist(), shingle_sets(some["text"], shingle_words)[0]))
+        asked = pdf[pdf["ask"]]
+        out = [(a, b) for a, b in zip(asked["node"].tolist(), asked["other"].tolist()) if similar_sets(len(sets[a]), len(sets[b]), len(np.intersect1d(sets[a], sets[b], assume_unique=True)), tenths)]
+        tidy()
+        return pd.DataFrame(out, columns=["src", "dst"], dtype="int64")
+
+    return staged(rows.groupBy("part").applyInPandas(judge, "src long, dst long"))
 
 
 def met(n):
@@ -329,42 +362,43 @@ def prefix(members: np.ndarray, hot: np.ndarray, rank: np.ndarray, tenths: int)
     return members[np.argsort(order, kind="stable")[:keep]]
 
 
-def prefix_pairs(sets: DataFrame, groups: DataFrame, tenths: int) -> DataFrame:
-    """Distinct pairs (src, dst) of sets(node, n, shingles) whose prefixes meet often enough and whose sizes allow the similarity.
+def prefix_pairs(docs: DataFrame, groups: DataFrame, total: int, shingle_words: int, tenths: int) -> DataFrame:
+    """Distinct pairs (src, dst) of the texts' nodes whose prefixes meet often enough and whose sizes allow the similarity.
 
-    Every similar pair is among them, but for those of one group of groups(node, component). Rows of
-    sets may repeat.
+    Every similar pair is among them, but for those of one group of groups(node, component). total is
+    the number of shingles, about.
     """
-    spark = sets.sparkSession
+    spark = docs.sparkSession
+    texts = keyed_texts(docs).select("text", "key")
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lo in range(0, len(batch), SLICE):
-                yield pd.DataFrame({"s": np.concatenate(list(batch["shingles"].iloc[lo : lo + SLICE]))})
+                yield pd.DataFrame({"s": np.concatenate(shingle_sets(batch["text"].iloc[lo : lo + SLICE], shingle_words)[0])})
 
-    some = sets.where(F.pmod(F.xxhash64("node", F.lit("order")), F.lit(HOT_SHARE)) == 0).select("shingles")
+    some = texts.where(F.pmod("key", F.lit(HOT_SHARE)) == 0).dropDuplicates(["key"]).select("text")
     counted = some.mapInPandas(spread, "s long").groupBy("s").count().where(F.col("count") >= HOT_LEAST)
-    top = counted.orderBy(F.desc("count"), "s").limit(HOT_SHINGLES).toPandas()  # bounded; it only orders the prefixes
+    with small_batches(spark):
+        top = counted.orderBy(F.desc("count"), "s").limit(HOT_SHINGLES).toPandas()  # bounded; it only orders the prefixes
     top = top.sort_values("s", ignore_index=True)
     rank = np.empty(len(top), "int64")
     rank[np.lexsort((top["s"], top["count"]))] = np.arange(len(top))
     shipped = spark.sparkContext.broadcast((top["s"].to_numpy("int64"), rank))
-    total = sets.agg(F.sum("n")).first()[0] or 0
     parts = pieces(total * (10 - tenths) // 10, PART_SHINGLES)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hot, ranks = shipped.value
-        done: set = set()  # a task's nodes
+        done: set = set()  # a task's texts
         for batch in batches:
             for lo in range(0, len(batch), SLICE):
-                own = batch.iloc[lo : lo + SLICE].drop_duplicates("node")
-                own = own[~own["node"].isin(done)]
-                if not len(own):
-                    continue
-                done.update(own["node"].tolist())
-                first = [prefix(np.asarray(s, "int64"), hot, ranks, tenths) for s in own["shingles"]]
-                sizes = [len(f) for f in first]
-                yield pd.DataFrame({"s": np.concatenate(first)} | {c: np.repeat(own[c].to_numpy("int64"), sizes) for c in ("node", "n")})
+                own = batch.iloc[lo : lo + SLICE]
+                own = own[[k not in done and not done.add(k) for k in own["key"].tolist()]]
+                sets = [s for s in shingle_sets(own["text"], shingle_words)[0] if len(s)]
+                if sets:
+                    first = [prefix(s, hot, ranks, tenths) for s in sets]
+                    sizes = [len(f) for f in first]
+                    yield pd.DataFrame({"s": np.concatenate(first), "node": np.repeat(node_names(sets), sizes), "n": np.repeat([len(s) for s in sets], sizes).astype("int32")})
+        tidy()
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["s", "node"]).sort_values(["s", "n", "node"], ignore_index=True)
@@ -383,15 +417,24 @@ def prefix_pairs(sets: DataFrame, groups: DataFrame, tenths: int) -> DataFrame:
                 if len(far):
                     mine = np.full(len(far), node[i])
                     found.append(np.stack([np.minimum(mine, node[far]), np.maximum(mine, node[far]), np.full(len(far), met(n[i])), np.full(len(far), times)]))
-        return pd.DataFrame(dict(zip(("src", "dst", "need", "k"), np.concatenate(found, 1)))).groupby(["src", "dst", "need"], as_index=False)["k"].sum()
+        out = pd.DataFrame(dict(zip(("src", "dst", "need", "k"), np.concatenate(found, 1)))).groupby(["src", "dst", "need"], as_index=False)["k"].sum()
+        tidy()
+        return out
 
-    dealt = sets.where("n > 0").select("node", "n", "shingles").mapInPandas(emit, "s long, node long, n long")
+    dealt = texts.mapInPandas(emit, "s long, node long, n int")
     if groups.count() <= BROADCAST_NODES:
         groups = F.broadcast(groups)
     dealt = dealt.join(groups, "node", "left").select("s", "node", "n", F.coalesce("component", "node").alias("group"))
     return dealt.groupBy(F.pmod(F.xxhash64("s"), F.lit(parts)).alias("part")).applyInPandas(meet, "src long, dst long, need long, k long").groupBy("src", "dst", "need").agg(F.sum("k").alias("k")).where("k >= need").select("src", "dst")
 
 
+def node_names(sets: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit name of each set."""
+    from xxhash import xxh3_64_intdigest
+
+    return np.array([xxh3_64_intdigest(s.tobytes()) for s in sets], "uint64").view("int64")
+
+
 def similar_documents(docs: DataFrame, shingle_words: int = 5, tenths: int = 8, differing: int = 42, radius: int = 3, shard_rows: int = 20_000) -> DataFrame:
     """doc_id and component_id under links of documents whose shingle sets have a similarity of tenths / 10 or more.
 
@@ -400,27 +443,37 @@ def similar_documents(docs: DataFrame, shingle_words: int = 5, tenths: int = 8,
     edits hardly move, give the first links: a spanning forest of what also agrees in a 256-bit
     fingerprint of shingles, each link then verified. That joins most of every large group; the
     pairs of different groups that are left come from a prefix-filter join, which is lossless, and
-    are verified as well. Equal sets are one node; texts without words are one node too.
+    are verified as well. Equal sets are one node; texts without words are one node too. Sets are
+    made anew from the texts wherever they are needed, which costs less than keeping them.
     """
-    shape = "doc_id long, node long, n long, v0 long, v1 long, wide binary, shingles array<bigint>"
+    with scratch():
+        return _similar(docs, shingle_words, tenths, differing, radius, shard_rows)
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from xxhash import xxh3_64_intdigest
 
+def _similar(docs: DataFrame, shingle_words: int, tenths: int, differing: int, radius: int, shard_rows: int) -> DataFrame:
+    shape = "doc_id long, key long, node long, n long, v0 long, v1 long, wide binary"
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lo in range(0, len(batch), SLICE):
                 own = batch.iloc[lo : lo + SLICE]
-                sets = [shingle_set(t, shingle_words) for t in own["text"]]
-                views = np.array([fingerprint(t, 1, VIEW_LANES).view("int64") for t in own["text"]])
-                names = np.array([xxh3_64_intdigest(s.tobytes()) for s in sets], "uint64").view("int64")
-                wide = [majority(np.stack([mixed(s.view("<u8"), i) for i in range(WIDE_LANES)], 1)).tobytes() if len(s) else bytes(8 * WIDE_LANES) for s in sets]
-                yield pd.DataFrame({"doc_id": own["doc_id"].astype("Int64").to_numpy(), "node": names, "n": [len(s) for s in sets], "v0": views[:, 0], "v1": views[:, 1], "wide": wide, "shingles": sets})
-
-    prints = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(make, shape))
-    nodes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("n").alias("n"), F.min("v0").alias("v0"), F.min("v1").alias("v1"), F.min("wide").alias("wide")))
-    forest_links = cut(links(nodes, radius, shard_rows, views=("v0", "v1"), check="wide", within=differing).where("src <> dst").distinct())
-    first = cut(verified(forest_links, prints, tenths))
-    groups = components(first)
-    rest = verified(cut(prefix_pairs(prints, groups, tenths)), prints, tenths)
-    named = grouped(nodes, first.unionByName(cut(rest)))
-    return prints.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+                sets, words, hashes = shingle_sets(own["text"], shingle_words)
+                sizes = np.array([len(s) for s in sets], "int64")
+                views = [bit_majority(mixed(hashes, i), words.sizes).view("<i8") for i in range(VIEW_LANES)]
+                members = np.concatenate(sets).view("<u8") if sets else hashes
+                wide = np.stack([bit_majority(mixed(members, i), sizes) for i in range(WIDE_LANES)], 1)
+                yield pd.DataFrame({"doc_id": own["doc_id"].astype("Int64").to_numpy(), "key": own["key"].to_numpy(), "node": node_names(sets), "n": sizes, "v0": views[0], "v1": views[1], "wide": [w.tobytes() for w in wide]})
+        tidy()
+
+    prints = staged(keyed_texts(docs).mapInPandas(make, shape))
+    # the text that stands for a node is that of the smallest (doc_id, key) with it
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("_least")
+    nodes = prints.groupBy("node").agg(least, F.min("n").alias("n"), F.min("v0").alias("v0"), F.min("v1").alias("v1"), F.min("wide").alias("wide"))
+    nodes = staged(nodes.select("node", F.col("_least.doc_id").alias("low"), F.col("_least.key").alias("key"), "n", "v0", "v1", "wide"))
+    forest_links = staged(links(nodes, radius, shard_rows, views=("v0", "v1"), check="wide", within=differing).where("src <> dst").distinct())
+    first = verified(forest_links, nodes, docs, shingle_words, tenths)
+    groups = staged(components(first))
+    total = prints.agg(F.sum("n")).first()[0] or 0
+    rest = verified(staged(prefix_pairs(docs, groups, total, shingle_words, tenths)), nodes, docs, shingle_words, tenths)
+    named = grouped(nodes, first.unionByName(rest))
+    return kept(prints.select("doc_id", "node").join(named, "node").select("doc_id", "component_id"))
