@@ -7,6 +7,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,11 +102,18 @@ def kept(df: DataFrame) -> DataFrame:
         _open[:] = held
 
 
-def tidy() -> None:
-    """Give memory that a Python worker has freed back to the system; the worker lives on for other stages."""
+#: What operators keep in a Python worker from task to task, by operator.
+CACHES: dict[str, dict] = {}
+
+
+def tidy(keep: str = "") -> None:
+    """Drop what other operators keep in this Python worker, and give free memory back to the system; the worker lives on for other stages."""
     import ctypes
     import gc
 
+    for name, held in CACHES.items():
+        if name != keep:
+            held.clear()
     gc.collect()
     try:
         import pyarrow
@@ -126,15 +135,45 @@ def pieces(n: int, size: int) -> int:
     return max(1, -(-int(n) // int(size)))
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+#: Links of components that one task settles; more take distributed rounds.
+LOCAL_LINKS = 1_000_000
+
+
+def roots_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest member of each of n elements' components under links a, b."""
+    root = np.arange(n)
+    while len(a):
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        while not np.array_equal(up := root[root], root):
+            root = up
+    return root
+
+
+def components(edges: DataFrame, rounds: int = 40, local_links: int = LOCAL_LINKS) -> DataFrame:
     """Connected components of edges(src, dst): rows (node, component), component the smallest node.
 
-    Alternating hooking and pointer jumping. Every round is joins and min-aggregations (partial
-    sums before the shuffle, so a node with very many links costs no task more), and ends in a
-    checkpoint. Rounds grow with the logarithm of the longest chain.
+    A counted list of at most local_links is settled in one task. Beyond, alternating hooking and
+    pointer jumping: every round is joins and min-aggregations (partial sums before the shuffle, so a
+    node with very many links costs no task more), and ends in a checkpoint. Rounds grow with the
+    logarithm of the longest chain.
     """
-    both = edges.select("src", "dst").where("src <> dst")
-    both = cut(both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    edges = staged(edges.select("src", "dst").where("src <> dst"))
+    if edges.count() <= local_links:
+
+        def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = [b for b in batches]
+            if held:
+                whole = pd.concat(held)
+                names, at = np.unique(whole[["src", "dst"]].to_numpy().ravel(), return_inverse=True)
+                root = roots_of(len(names), at.ravel()[0::2], at.ravel()[1::2])
+                yield pd.DataFrame({"node": names, "component": names[root]})
+
+        kind = edges.schema["src"].dataType.simpleString()
+        return staged(edges.coalesce(1).mapInPandas(settle, f"node {kind}, component {kind}"))
+    both = cut(edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     labels = both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component"))
     labels = cut(labels)
     for _ in range(rounds):
@@ -154,4 +193,4 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-__all__ = ["WORD_BREAK", "bucketed", "components", "cut", "kept", "pieces", "scratch", "shared_dir", "small_batches", "staged", "tidy"]
+__all__ = ["CACHES", "WORD_BREAK", "bucketed", "components", "cut", "kept", "pieces", "roots_of", "scratch", "shared_dir", "small_batches", "staged", "tidy"]

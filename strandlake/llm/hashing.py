@@ -19,12 +19,11 @@ def combine(*parts: np.ndarray) -> np.ndarray:
 
 
 class HashIndex:
-    """Values by distinct 64-bit keys, at most half full, with linear probing."""
+    """Values by distinct 64-bit keys, about three quarters full, with linear probing."""
 
     def __init__(self, keys: np.ndarray, *values: np.ndarray):
         keys = np.where(keys == _FREE, _FREE + 1, keys.astype("int64"))
-        self.bits = max(4, int(len(keys) * 2 - 1).bit_length() if len(keys) else 4)
-        size = 1 << self.bits
+        self.size = size = max(16, len(keys) * 4 // 3 + 1)
         self.keys = np.full(size, _FREE)
         at = self._slot(keys)
         waiting = np.arange(len(keys))
@@ -32,7 +31,7 @@ class HashIndex:
             free = self.keys[at[waiting]] == _FREE
             self.keys[at[waiting[free]]] = keys[waiting[free]]
             waiting = waiting[self.keys[at[waiting]] != keys[waiting]]
-            at[waiting] = (at[waiting] + 1) & (size - 1)
+            at[waiting] = (at[waiting] + 1) % size
         self.values = []
         for v in values:
             held = np.zeros(size, v.dtype)
@@ -41,7 +40,8 @@ class HashIndex:
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return ((keys.view("uint64") * _MIX) >> np.uint64(64 - self.bits)).astype("int64")
+            high = (keys.view("uint64") * _MIX) >> np.uint64(32)
+            return ((high * np.uint64(self.size)) >> np.uint64(32)).astype("int64")
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Slot of every key, -1 where it is missing."""
@@ -50,7 +50,7 @@ class HashIndex:
         out = np.where(held == keys, at, -1)
         open_ = np.flatnonzero((held != keys) & (held != _FREE))
         while len(open_):
-            at[open_] = (at[open_] + 1) & (len(self.keys) - 1)
+            at[open_] = (at[open_] + 1) % self.size
             held = self.keys[at[open_]]
             hit = held == keys[open_]
             out[open_[hit]] = at[open_[hit]]

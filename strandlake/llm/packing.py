@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, staged
+from .common import CACHES, pieces, staged, tidy
 
 #: Words that the tokenizer treats run by run: printable ASCII and the letters of Latin-1.
 _PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]{1,60}\Z")
@@ -198,14 +198,13 @@ class WordEncoder:
         return [b"".join([rest(w) if (ids := get(w)) is None else ids for w in words]) for words in split]
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """One encoder for each tokenizer file and worker."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    held = CACHES.setdefault("tokenizer", {})
+    if path not in held:
+        tidy("tokenizer")
+        held[path] = WordEncoder(path)
+    return held[path]
 
 
 def tokenize(docs: DataFrame, tokenizer: str, capacity: int = 2048, separator: int = 0) -> DataFrame:

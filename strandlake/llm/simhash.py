@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, kept, pieces, scratch, small_batches, staged, tidy
+from .common import components, kept, pieces, roots_of, scratch, small_batches, staged, tidy
 from .words import Words, bit_majority, grams, mix
 
 SEED = 42
@@ -172,23 +172,8 @@ def near_pairs(items: np.ndarray, queries: np.ndarray, radius: int, seed: int =
 def forest(n: int, blocks: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Smallest member of every element's component under the given links."""
     root = np.arange(n)
-
-    def settle() -> None:
-        while True:
-            up = root[root]
-            if np.array_equal(up, root):
-                return
-            root[:] = up
-
     for a, b in blocks:
-        while True:
-            ra, rb = root[a], root[b]
-            apart = ra != rb
-            if not apart.any():
-                break
-            a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-            np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
-            settle()
+        root = roots_of(n, root[a], root[b])[root]
     return root
 
 
@@ -239,14 +224,24 @@ def links(nodes: DataFrame, radius: int, shard_rows: int = 20_000, sample_rows:
     return dealt.groupBy("view", "shard").applyInPandas(join, f"src {kind}, dst {kind}")
 
 
-def grouped(nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """nodes(node, low) with each node's component_id: the smallest low in its component."""
+def named_groups(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, component_id) of the nodes(node, low, copies) that have copies or links: the smallest low of their component."""
     roots = components(found)
-    rooted = nodes.select("node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    rooted = cut(rooted.select("node", "low", "root"))
-    lows = rooted.where("node <> root").select("root").distinct()  # only components of more than one node
-    lows = rooted.join(lows, "root", "left_semi").groupBy("root").agg(F.min("low").alias("least"))
-    return rooted.join(lows, "root", "left").select("node", F.coalesce("least", "low").alias("component_id"))
+    if roots.count() <= BROADCAST_NODES:
+        roots = F.broadcast(roots)
+    rooted = staged(nodes.select("node", "low", "copies").join(roots, "node", "left").where("component is not null or copies > 1").withColumn("root", F.coalesce("component", "node")))
+    lows = rooted.where("component is not null").groupBy("root").agg(F.min("low").alias("least"))
+    lows = staged(lows)
+    if lows.count() <= BROADCAST_NODES:
+        lows = F.broadcast(lows)
+    return staged(rooted.join(lows, "root", "left").select("node", F.coalesce("least", "low").alias("component_id")))
+
+
+def with_groups(prints: DataFrame, named: DataFrame) -> DataFrame:
+    """prints(doc_id, node, ...) with component_id; a document alone in its node and component is its own."""
+    if named.count() <= BROADCAST_NODES:
+        named = F.broadcast(named)
+    return prints.join(named, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
 
 def _printed(docs: DataFrame, shape: str, make) -> DataFrame:
@@ -262,12 +257,10 @@ def _printed(docs: DataFrame, shape: str, make) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = 2, shard_rows: int = 20_000) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id under links of at most radius differing bits."""
-    prints = staged(_printed(docs, "doc_id long, fp long", lambda t: (int(fingerprint(t, shingle_words).view("int64")[0]),)))
-    nodes = cut(prints.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("low")))
-    placed = grouped(nodes, links(nodes.withColumn("fp", F.col("node")), radius, shard_rows))
-    return prints.join(placed.withColumnRenamed("node", "fp"), "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    prints = staged(_printed(docs, "doc_id long, node long", lambda t: (int(fingerprint(t, shingle_words).view("int64")[0]),)))
+    nodes = staged(prints.groupBy("node").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies")))
+    named = named_groups(nodes, links(nodes.withColumn("fp", F.col("node")), radius, shard_rows))
+    return with_groups(prints, named).select("doc_id", F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), "component_id")
 
 
 #: 64-bit lanes of the wide check fingerprint, and of the search views.
@@ -278,6 +271,8 @@ HOT_SHINGLES, HOT_LEAST, HOT_SHARE = 500_000, 3, 16
 SLICE, PART_SHINGLES, PART_PAIRS = 256, 400_000, 2_000
 #: Nodes that are broadcast at most; more are joined by a shuffle.
 BROADCAST_NODES = 500_000
+#: A node in a run: its place in the node's prefix is p.
+MEMBERS = np.dtype([("n", "<i4"), ("p", "<i4"), ("node", "<i8"), ("group", "<i8")])
 #: Partners of one node that are verified together.
 CELL_PAIRS = 64
 
@@ -351,8 +346,9 @@ def met(n):
 def prefix(members: np.ndarray, hot: np.ndarray, rank: np.ndarray, tenths: int) -> np.ndarray:
     """The first members of a set in the common order: rare ones by hash, then hot ones by rank.
 
-    The k-th common member of two sets with a similarity of tenths / 10 is at most at place
-    n - ceil(n tenths / 10) + k of either, so their prefixes share met(n) members, n the smaller size.
+    The k-th common member of two sets that share `both` is at most at place n - both + k of a set of
+    n, and similar ones share both >= ceil(n tenths / 10); so their prefixes share met(n) members, n the
+    smaller size.
     """
     keep = len(members) - -(-tenths * len(members) // 10) + met(len(members))
     if not len(hot) or not len(members):
@@ -397,35 +393,59 @@ def prefix_pairs(docs: DataFrame, groups: DataFrame, total: int, shingle_words:
                 if sets:
                     first = [prefix(s, hot, ranks, tenths) for s in sets]
                     sizes = [len(f) for f in first]
-                    yield pd.DataFrame({"s": np.concatenate(first), "node": np.repeat(node_names(sets), sizes), "n": np.repeat([len(s) for s in sets], sizes).astype("int32")})
+                    yield pd.DataFrame({"s": np.concatenate(first), "node": np.repeat(node_names(sets), sizes), "n": np.repeat([len(s) for s in sets], sizes).astype("int32"), "p": np.concatenate([np.arange(k) for k in sizes]).astype("int32")})
         tidy()
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The nodes of each shingle that more than one group has, under the smallest node; how often the same nodes meet."""
         pdf = pdf.drop_duplicates(["s", "node"]).sort_values(["s", "n", "node"], ignore_index=True)
-        s, node, n, group = (pdf[c].to_numpy("int64") for c in ("s", "node", "n", "group"))
+        s, group = pdf["s"].to_numpy("int64"), pdf["group"].to_numpy("int64")
+        held = np.zeros(len(pdf), MEMBERS)
+        for name in MEMBERS.names:
+            held[name] = pdf[name].to_numpy("int64")
         ends = np.append(np.flatnonzero(np.diff(s)) + 1, len(s))
         starts = np.append(0, ends[:-1])
-        runs: dict[bytes, list[int]] = {}  # shingles of the same nodes are counted at once
+        runs: dict[bytes, int] = {}
         for lo, hi in zip(starts.tolist(), ends.tolist()):
             if hi - lo > 1 and not (group[lo:hi] == group[lo]).all():
-                runs.setdefault(node[lo:hi].tobytes(), [lo, hi, 0])[2] += 1
-        found = [np.zeros((4, 0), "int64")]
-        for lo, hi, times in runs.values():
-            for i in range(lo, hi - 1):
-                to = i + 1 + int(np.searchsorted(n[i + 1 : hi], n[i] * 10 // tenths, "right"))
-                far = i + 1 + np.flatnonzero(group[i + 1 : to] != group[i])
-                if len(far):
-                    mine = np.full(len(far), node[i])
-                    found.append(np.stack([np.minimum(mine, node[far]), np.maximum(mine, node[far]), np.full(len(far), met(n[i])), np.full(len(far), times)]))
-        out = pd.DataFrame(dict(zip(("src", "dst", "need", "k"), np.concatenate(found, 1)))).groupby(["src", "dst", "need"], as_index=False)["k"].sum()
+                runs[raw] = runs.get(raw := held[lo:hi].tobytes(), 0) + 1
+        out = pd.DataFrame({"least": [int(np.frombuffer(r, MEMBERS)["node"].min()) for r in runs], "members": list(runs), "times": list(runs.values())})
+        tidy()
+        return out.astype({"least": "int64", "times": "int64"})
+
+    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Pairs of nodes of different groups and how many shingles they share; most of a pair's runs have one least node, so they are summed here."""
+        held = [(np.zeros((0, 3), "int64"), np.zeros(0, "int64"))]
+        for _, own in pdf.groupby("least", sort=False):
+            found = []
+            for raw, times in zip(own["members"], own["times"]):
+                m = np.frombuffer(raw, MEMBERS)
+                n, node, group, p = (m[c].astype("int64") for c in ("n", "node", "group", "p"))
+                for i in range(len(m) - 1):
+                    to = i + 1 + int(np.searchsorted(n[i + 1 :], n[i] * 10 // tenths, "right"))
+                    far = np.arange(i + 1, to)
+                    both = -(-tenths * (n[i] + n[far]) // (10 + tenths))  # members that similar sets share
+                    far = far[(group[far] != group[i]) & (p[i] < n[i] - both + met(n[i])) & (p[far] < n[far] - both + met(n[i]))]
+                    if len(far):
+                        mine = np.full(len(far), node[i])
+                        found.append(np.stack([np.minimum(mine, node[far]), np.maximum(mine, node[far]), np.full(len(far), met(n[i])), np.full(len(far), times)], 1))
+            if found:
+                whole = np.concatenate(found)
+                names, back = np.unique(whole[:, :3], axis=0, return_inverse=True)
+                held.append((names, np.bincount(back.ravel(), whole[:, 3]).astype("int64")))
+        names, k = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
         tidy()
-        return out
+        return pd.DataFrame({"src": names[:, 0], "dst": names[:, 1], "need": names[:, 2], "k": k})
 
-    dealt = texts.mapInPandas(emit, "s long, node long, n int")
+    dealt = texts.mapInPandas(emit, "s long, node long, n int, p int")
     if groups.count() <= BROADCAST_NODES:
         groups = F.broadcast(groups)
-    dealt = dealt.join(groups, "node", "left").select("s", "node", "n", F.coalesce("component", "node").alias("group"))
-    return dealt.groupBy(F.pmod(F.xxhash64("s"), F.lit(parts)).alias("part")).applyInPandas(meet, "src long, dst long, need long, k long").groupBy("src", "dst", "need").agg(F.sum("k").alias("k")).where("k >= need").select("src", "dst")
+    dealt = dealt.join(groups, "node", "left").select("s", "node", "n", "p", F.coalesce("component", "node").alias("group"))
+    runs = staged(dealt.groupBy(F.pmod(F.xxhash64("s"), F.lit(parts)).alias("part")).applyInPandas(meet, "least long, members binary, times long"))
+    held = runs.agg(F.sum(F.octet_length("members"))).first()[0] or 0
+    parts = pieces(held // MEMBERS.itemsize, PART_SHINGLES // 4)
+    pairs = runs.groupBy(F.pmod(F.xxhash64("least"), F.lit(parts)).alias("part")).applyInPandas(pair, "src long, dst long, need long, k long")
+    return pairs.groupBy("src", "dst", "need").agg(F.sum("k").alias("k")).where("k >= need").select("src", "dst")
 
 
 def node_names(sets: list[np.ndarray]) -> np.ndarray:
@@ -468,12 +488,12 @@ def _similar(docs: DataFrame, shingle_words: int, tenths: int, differing: int, r
     prints = staged(keyed_texts(docs).mapInPandas(make, shape))
     # the text that stands for a node is that of the smallest (doc_id, key) with it
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("_least")
-    nodes = prints.groupBy("node").agg(least, F.min("n").alias("n"), F.min("v0").alias("v0"), F.min("v1").alias("v1"), F.min("wide").alias("wide"))
-    nodes = staged(nodes.select("node", F.col("_least.doc_id").alias("low"), F.col("_least.key").alias("key"), "n", "v0", "v1", "wide"))
+    nodes = prints.groupBy("node").agg(least, F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.min("v0").alias("v0"), F.min("v1").alias("v1"), F.min("wide").alias("wide"))
+    nodes = staged(nodes.select("node", F.col("_least.doc_id").alias("low"), F.col("_least.key").alias("key"), "copies", "n", "v0", "v1", "wide"))
     forest_links = staged(links(nodes, radius, shard_rows, views=("v0", "v1"), check="wide", within=differing).where("src <> dst").distinct())
     first = verified(forest_links, nodes, docs, shingle_words, tenths)
-    groups = staged(components(first))
+    groups = components(first)
     total = prints.agg(F.sum("n")).first()[0] or 0
     rest = verified(staged(prefix_pairs(docs, groups, total, shingle_words, tenths)), nodes, docs, shingle_words, tenths)
-    named = grouped(nodes, first.unionByName(rest))
-    return kept(prints.select("doc_id", "node").join(named, "node").select("doc_id", "component_id"))
+    named = named_groups(nodes, first.unionByName(rest))
+    return kept(with_groups(prints.select("doc_id", "node"), named).select("doc_id", "component_id"))
