@@ -224,9 +224,8 @@ def links(nodes: DataFrame, radius: int, shard_rows: int = 20_000, sample_rows:
     return dealt.groupBy("view", "shard").applyInPandas(join, f"src {kind}, dst {kind}")
 
 
-def named_groups(nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """(node, component_id) of the nodes(node, low, copies) that have copies or links: the smallest low of their component."""
-    roots = components(found)
+def named_groups(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, component_id) of the nodes(node, low, copies) that have copies or a component in roots: the smallest low there."""
     if roots.count() <= BROADCAST_NODES:
         roots = F.broadcast(roots)
     rooted = staged(nodes.select("node", "low", "copies").join(roots, "node", "left").where("component is not null or copies > 1").withColumn("root", F.coalesce("component", "node")))
@@ -259,7 +258,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = 2, sh
     """doc_id, fingerprint (hex) and component_id under links of at most radius differing bits."""
     prints = staged(_printed(docs, "doc_id long, node long", lambda t: (int(fingerprint(t, shingle_words).view("int64")[0]),)))
     nodes = staged(prints.groupBy("node").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies")))
-    named = named_groups(nodes, links(nodes.withColumn("fp", F.col("node")), radius, shard_rows))
+    named = named_groups(nodes, components(links(nodes.withColumn("fp", F.col("node")), radius, shard_rows)))
     return with_groups(prints, named).select("doc_id", F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -273,6 +272,8 @@ SLICE, PART_SHINGLES, PART_PAIRS = 256, 400_000, 2_000
 BROADCAST_NODES = 500_000
 #: A node in a run: its place in the node's prefix is p.
 MEMBERS = np.dtype([("n", "<i4"), ("p", "<i4"), ("node", "<i8"), ("group", "<i8")])
+#: Buckets of a set's parity sketch.
+SKETCH_BITS = 1024
 #: Partners of one node that are verified together.
 CELL_PAIRS = 64
 
@@ -358,11 +359,11 @@ def prefix(members: np.ndarray, hot: np.ndarray, rank: np.ndarray, tenths: int)
     return members[np.argsort(order, kind="stable")[:keep]]
 
 
-def prefix_pairs(docs: DataFrame, groups: DataFrame, total: int, shingle_words: int, tenths: int) -> DataFrame:
-    """Distinct pairs (src, dst) of the texts' nodes whose prefixes meet often enough and whose sizes allow the similarity.
+def prefix_runs(docs: DataFrame, groups: DataFrame, total: int, shingle_words: int, tenths: int) -> DataFrame:
+    """Runs (least, members, times): nodes whose prefixes share a shingle, the smallest node, and for how many shingles.
 
-    Every similar pair is among them, but for those of one group of groups(node, component). total is
-    the number of shingles, about.
+    Runs inside one group of groups(node, component) are left out. total is the number of shingles,
+    about.
     """
     spark = docs.sparkSession
     texts = keyed_texts(docs).select("text", "key")
@@ -413,38 +414,130 @@ def prefix_pairs(docs: DataFrame, groups: DataFrame, total: int, shingle_words:
         tidy()
         return out.astype({"least": "int64", "times": "int64"})
 
+    dealt = texts.mapInPandas(emit, "s long, node long, n int, p int")
+    if groups.count() <= BROADCAST_NODES:
+        groups = F.broadcast(groups)
+    dealt = dealt.join(groups, "node", "left").select("s", "node", "n", "p", F.coalesce("component", "node").alias("group"))
+    return staged(dealt.groupBy(F.pmod(F.xxhash64("s"), F.lit(parts)).alias("part")).applyInPandas(meet, "least long, members binary, times long"))
+
+
+#: Nodes that are tried first as partners of all others they meet, and how often with new groups.
+PIVOTS, STAR_ROUNDS = 4, 1
+_COUNTED = "src long, dst long, need long, k long"
+
+
+def _relabelled(groups: DataFrame):
+    """A function that sets the group of runs' members from groups(node, component), while that is small enough to be broadcast."""
+    if groups.count() > BROADCAST_NODES:
+        return lambda members: members  # with older labels more pairs are looked at, no fewer
+    found = groups.orderBy("node").toPandas()  # at most BROADCAST_NODES rows
+    shipped = groups.sparkSession.sparkContext.broadcast((found["node"].to_numpy("int64"), found["component"].to_numpy("int64")))
+
+    def label(members: np.ndarray) -> np.ndarray:
+        names, roots = shipped.value
+        if not len(names):
+            return members
+        members = members.copy()
+        at = np.minimum(np.searchsorted(names, members["node"]), len(names) - 1)
+        members["group"] = np.where(names[at] == members["node"], roots[at], members["group"])
+        return members
+
+    return label
+
+
+def _counted(rows: list[np.ndarray]) -> pd.DataFrame:
+    """Sums of k by pair of rows (src, dst, need, k)."""
+    whole = np.concatenate([np.zeros((0, 4), "int64"), *rows])
+    names, back = np.unique(whole[:, :3], axis=0, return_inverse=True)
+    return pd.DataFrame({"src": names[:, 0], "dst": names[:, 1], "need": names[:, 2], "k": np.bincount(back.ravel(), whole[:, 3], len(names)).astype("int64")})
+
+
+def _ordered(a: np.ndarray, b: np.ndarray, need: np.ndarray, k: np.ndarray) -> np.ndarray:
+    return np.stack([np.minimum(a, b), np.maximum(a, b), need, k], 1)
+
+
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set the parities of its members in SKETCH_BITS buckets, as (len(sets), SKETCH_BITS / 64) words.
+
+    Two sets differ in at least as many members as their sketches in bits, whatever the sets.
+    """
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    bucket = np.concatenate(sets).view("<u8") % np.uint64(SKETCH_BITS) if sets else np.zeros(0, "uint64")
+    odd = np.bincount(owner * SKETCH_BITS + bucket.astype("int64"), minlength=len(sets) * SKETCH_BITS) & 1
+    return np.packbits(odd.astype("uint8"), bitorder="little").view("<u8").reshape(len(sets), -1)
+
+
+def candidates(runs: DataFrame, nodes: DataFrame, groups: DataFrame, tenths: int, stars: bool) -> DataFrame:
+    """Distinct pairs (src, dst) of nodes(node, sketch) of different groups that meet in runs often enough and whose sizes and sketches allow the similarity.
+
+    With stars only pairs of a run's most frequent nodes with its others, so at most PIVOTS for each
+    member; without, all of them. Most of a pair's runs have one least node, so they are summed where
+    they meet.
+    """
+    label = _relabelled(groups)
+    held = runs.agg(F.sum(F.octet_length("members"))).first()[0] or 0
+    parts = pieces(held // MEMBERS.itemsize, PART_SHINGLES // 4)
+    placed = runs.withColumn("part", F.pmod(F.xxhash64("least"), F.lit(parts)))
+
+    def members_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            per = batch["members"].str.len().to_numpy("int64") // MEMBERS.itemsize
+            yield pd.DataFrame({"part": np.repeat(batch["part"].to_numpy(), per), "node": np.frombuffer(b"".join(batch["members"]), MEMBERS)["node"]}).drop_duplicates()
+
+    who = placed.select("part", "members").mapInPandas(members_of, "part long, node long").distinct().join(nodes.select("node", "sketch"), "node")
+    zero = F.lit(0).cast("long")
+    rows = placed.select("part", "least", "members", "times", zero.alias("node"), F.lit(None).cast("binary").alias("sketch")).unionByName(
+        who.select("part", zero.alias("least"), F.lit(None).cast("binary").alias("members"), zero.alias("times"), "node", "sketch")
+    )
+
     def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of nodes of different groups and how many shingles they share; most of a pair's runs have one least node, so they are summed here."""
-        held = [(np.zeros((0, 3), "int64"), np.zeros(0, "int64"))]
-        for _, own in pdf.groupby("least", sort=False):
+        known = pdf[pdf["sketch"].notna()].sort_values("node")
+        names_of, bits = known["node"].to_numpy("int64"), np.frombuffer(b"".join(known["sketch"]), "<u8").reshape(len(known), -1)
+
+        def possible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+            """Whether the sketches of nodes a and b of na and nb members allow the similarity."""
+            apart = np.bitwise_count(bits[np.searchsorted(names_of, a)] ^ bits[np.searchsorted(names_of, b)]).sum(1, dtype="int64")
+            return (10 + tenths) * ((na + nb - apart) // 2) >= tenths * (na + nb)
+
+        def star(own: pd.DataFrame) -> list[np.ndarray]:
+            per = own["members"].str.len().to_numpy("int64") // MEMBERS.itemsize
+            m = label(np.frombuffer(b"".join(own["members"]), MEMBERS))
+            run, times = np.repeat(np.arange(len(own)), per), np.repeat(own["times"].to_numpy("int64"), per)
+            names, first, at = np.unique(m["node"], return_index=True, return_inverse=True)
+            n, group = m["n"][first].astype("int64"), m["group"][first]
+            found, order = [], np.argsort(-np.bincount(at, times), kind="stable")
+            chosen = order[np.sort(np.unique(group[order], return_index=True)[1])[:PIVOTS]]  # of different groups
+            for pivot in chosen:
+                k = np.bincount(at, times * np.isin(run, run[at == pivot])).astype("int64")
+                low, high = np.minimum(n, n[pivot]), np.maximum(n, n[pivot])
+                far = np.flatnonzero((group != group[pivot]) & (k > 0) & (high * tenths <= low * 10))
+                far = far[possible(np.full(len(far), names[pivot]), names[far], n[pivot], n[far])]
+                found.append(_ordered(np.full(len(far), names[pivot]), names[far], met(low[far]), k[far]))
+            whole = np.concatenate(found)
+            return [whole[np.unique(whole[:, :2], axis=0, return_index=True)[1]]]  # two pivots are one pair
+
+        def every(own: pd.DataFrame) -> list[np.ndarray]:
             found = []
             for raw, times in zip(own["members"], own["times"]):
-                m = np.frombuffer(raw, MEMBERS)
+                m = label(np.frombuffer(raw, MEMBERS))
                 n, node, group, p = (m[c].astype("int64") for c in ("n", "node", "group", "p"))
+                if (group == group[0]).all():
+                    continue
                 for i in range(len(m) - 1):
                     to = i + 1 + int(np.searchsorted(n[i + 1 :], n[i] * 10 // tenths, "right"))
                     far = np.arange(i + 1, to)
                     both = -(-tenths * (n[i] + n[far]) // (10 + tenths))  # members that similar sets share
                     far = far[(group[far] != group[i]) & (p[i] < n[i] - both + met(n[i])) & (p[far] < n[far] - both + met(n[i]))]
                     if len(far):
-                        mine = np.full(len(far), node[i])
-                        found.append(np.stack([np.minimum(mine, node[far]), np.maximum(mine, node[far]), np.full(len(far), met(n[i])), np.full(len(far), times)], 1))
-            if found:
-                whole = np.concatenate(found)
-                names, back = np.unique(whole[:, :3], axis=0, return_inverse=True)
-                held.append((names, np.bincount(back.ravel(), whole[:, 3]).astype("int64")))
-        names, k = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+                        far = far[possible(np.full(len(far), node[i]), node[far], n[i], n[far])]
+                        found.append(_ordered(np.full(len(far), node[i]), node[far], np.full(len(far), met(n[i])), np.full(len(far), times)))
+            return found
+
+        out = [_counted((star if stars else every)(own)) for _, own in pdf[pdf["members"].notna()].groupby("least", sort=False)]
         tidy()
-        return pd.DataFrame({"src": names[:, 0], "dst": names[:, 1], "need": names[:, 2], "k": k})
+        return pd.concat(out) if out else _counted([])
 
-    dealt = texts.mapInPandas(emit, "s long, node long, n int, p int")
-    if groups.count() <= BROADCAST_NODES:
-        groups = F.broadcast(groups)
-    dealt = dealt.join(groups, "node", "left").select("s", "node", "n", "p", F.coalesce("component", "node").alias("group"))
-    runs = staged(dealt.groupBy(F.pmod(F.xxhash64("s"), F.lit(parts)).alias("part")).applyInPandas(meet, "least long, members binary, times long"))
-    held = runs.agg(F.sum(F.octet_length("members"))).first()[0] or 0
-    parts = pieces(held // MEMBERS.itemsize, PART_SHINGLES // 4)
-    pairs = runs.groupBy(F.pmod(F.xxhash64("least"), F.lit(parts)).alias("part")).applyInPandas(pair, "src long, dst long, need long, k long")
+    pairs = rows.groupBy("part").applyInPandas(pair, _COUNTED)
     return pairs.groupBy("src", "dst", "need").agg(F.sum("k").alias("k")).where("k >= need").select("src", "dst")
 
 
@@ -463,7 +556,7 @@ def similar_documents(docs: DataFrame, shingle_words: int = 5, tenths: int = 8,
     edits hardly move, give the first links: a spanning forest of what also agrees in a 256-bit
     fingerprint of shingles, each link then verified. That joins most of every large group; the
     pairs of different groups that are left come from a prefix-filter join, which is lossless, and
-    are verified as well. Equal sets are one node; texts without words are one node too. Sets are
+    are verified as well, first those with the members that meet most others. Equal sets are one node; texts without words are one node too. Sets are
     made anew from the texts wherever they are needed, which costs less than keeping them.
     """
     with scratch():
@@ -471,7 +564,7 @@ def similar_documents(docs: DataFrame, shingle_words: int = 5, tenths: int = 8,
 
 
 def _similar(docs: DataFrame, shingle_words: int, tenths: int, differing: int, radius: int, shard_rows: int) -> DataFrame:
-    shape = "doc_id long, key long, node long, n long, v0 long, v1 long, wide binary"
+    shape = "doc_id long, key long, node long, n long, v0 long, v1 long, wide binary, sketch binary"
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -482,18 +575,28 @@ def _similar(docs: DataFrame, shingle_words: int, tenths: int, differing: int, r
                 views = [bit_majority(mixed(hashes, i), words.sizes).view("<i8") for i in range(VIEW_LANES)]
                 members = np.concatenate(sets).view("<u8") if sets else hashes
                 wide = np.stack([bit_majority(mixed(members, i), sizes) for i in range(WIDE_LANES)], 1)
-                yield pd.DataFrame({"doc_id": own["doc_id"].astype("Int64").to_numpy(), "key": own["key"].to_numpy(), "node": node_names(sets), "n": sizes, "v0": views[0], "v1": views[1], "wide": [w.tobytes() for w in wide]})
+                yield pd.DataFrame({"doc_id": own["doc_id"].astype("Int64").to_numpy(), "key": own["key"].to_numpy(), "node": node_names(sets), "n": sizes, "v0": views[0], "v1": views[1], "wide": [w.tobytes() for w in wide], "sketch": [k.tobytes() for k in sketches(sets)]})
         tidy()
 
     prints = staged(keyed_texts(docs).mapInPandas(make, shape))
     # the text that stands for a node is that of the smallest (doc_id, key) with it
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("_least")
-    nodes = prints.groupBy("node").agg(least, F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.min("v0").alias("v0"), F.min("v1").alias("v1"), F.min("wide").alias("wide"))
-    nodes = staged(nodes.select("node", F.col("_least.doc_id").alias("low"), F.col("_least.key").alias("key"), "copies", "n", "v0", "v1", "wide"))
+    nodes = prints.groupBy("node").agg(least, F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.min("v0").alias("v0"), F.min("v1").alias("v1"), F.min("wide").alias("wide"), F.min("sketch").alias("sketch"))
+    nodes = staged(nodes.select("node", F.col("_least.doc_id").alias("low"), F.col("_least.key").alias("key"), "copies", "n", "v0", "v1", "wide", "sketch"))
     forest_links = staged(links(nodes, radius, shard_rows, views=("v0", "v1"), check="wide", within=differing).where("src <> dst").distinct())
     first = verified(forest_links, nodes, docs, shingle_words, tenths)
     groups = components(first)
     total = prints.agg(F.sum("n")).first()[0] or 0
-    rest = verified(staged(prefix_pairs(docs, groups, total, shingle_words, tenths)), nodes, docs, shingle_words, tenths)
-    named = named_groups(nodes, first.unionByName(rest))
+    runs = prefix_runs(docs, groups, total, shingle_words, tenths)
+    # the middle of a group first: what that joins needs no looking at pair by pair
+    found, judged = first, forest_links
+    for stars in [True] * STAR_ROUNDS + [False]:
+        asked = candidates(runs, nodes, groups, tenths, stars)
+        asked = staged(asked.join(F.broadcast(judged) if judged.count() <= BROADCAST_NODES else judged, ["src", "dst"], "left_anti"))
+        fresh = verified(asked, nodes, docs, shingle_words, tenths)
+        if stars and not fresh.take(1):
+            continue
+        found, judged = found.unionByName(fresh), judged.unionByName(asked)
+        groups = components(found)
+    named = named_groups(nodes, groups)
     return kept(with_groups(prints.select("doc_id", "node"), named).select("doc_id", "component_id"))
