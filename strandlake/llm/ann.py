@@ -15,9 +15,11 @@ m grows with the logarithm of the number of distinct vectors as far as the recal
 neighbours of `SAMPLE` queries among all vectors are found outright, and the largest m, with the
 fewest probes, whose buckets hold at least `TARGET` of them is taken. Every row is indexed.
 
-Edge cases: vectors that are null, zero, or hold null or non-finite components, and rows without an
-id, take no part; vectors of another length than the commonest are an error; fewer candidates give
-fewer rows; empty tables give none; further columns are ignored.
+Edge cases: vectors that are null, zero, or hold null or non-finite components, vectors of another
+length than the commonest (of two, the shorter), and rows without an id take no part; a row repeated
+with its id and vector counts once, and a query id with several vectors is a query for each; equal
+scores go by vec_id; fewer candidates give fewer rows; empty tables give none; further columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -89,18 +91,18 @@ class StableHash:
             return np.stack([own + step[:, list(s)].sum(1) for s in sets], 1)
 
 
-def _arrays(values: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """(rows that hold a usable vector, their vectors in double precision)."""
+def _arrays(values: pd.Series) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(rows that hold a usable vector, their vectors in double precision); very large and very small ones are scaled."""
     rows, vectors = [], []
     for i, v in enumerate(values):
         if v is None:
             continue
         x = np.array([np.nan if c is None else c for c in v], "float64") if getattr(v, "dtype", None) == object or not isinstance(v, np.ndarray) else v.astype("float64")
-        with np.errstate(over="ignore"):
-            if len(x) and np.isfinite(x).all() and (s := float(x @ x)) > 0 and math.isfinite(s):
-                rows.append(i)
-                vectors.append(x)
-    return np.array(rows, "int64"), np.array(vectors)
+        if len(x) and np.isfinite(x).all() and (most := float(np.abs(x).max())) > 0:
+            power = math.frexp(most)[1]
+            rows.append(i)
+            vectors.append(x if abs(power) < 200 else np.ldexp(x, -power))  # a power of two leaves the cosine as it is
+    return np.array(rows, "int64"), vectors
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -137,18 +139,18 @@ def tuned(asked: np.ndarray, near: np.ndarray, dim: int, tables: int, width: flo
 
 def nearest(vectors: DataFrame, k: int = 5, every: int = 50, tables: int = 4, width: float = 3.0, probes: int | None = None, m: int | None = None, cell_rows: int = 20_000) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found for each query (ids divisible by every)."""
-    rows = staged(usable(vectors))
+    rows = usable(vectors).dropDuplicates(["key", "vec_id"])
+    rows = staged(rows)
+    first = rows.select(F.octet_length("vec").alias("n")).groupBy("n").count().orderBy(F.desc("count"), "n").first()
+    dim = first["n"] // 8 if first else 1
+    rows = rows.where(F.octet_length("vec") == 8 * dim)
     of_key = Window.partitionBy("key").orderBy("vec_id")
     few = rows.withColumn("_n", F.row_number().over(of_key)).where(F.col("_n") <= k + 1)
     entries = staged(few.groupBy("key").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.min("vec").alias("vec")))
     asked = rows.where(F.col("vec_id") % every == 0).select("key", F.col("vec_id").alias("query_id"))
     count = entries.count()
-    first = entries.select(F.octet_length("vec").alias("n")).groupBy("n").count().orderBy(F.desc("count"), "n").first()
-    dim = first["n"] // 8 if first else 1
 
     def unit(batch: pd.DataFrame) -> np.ndarray:
-        if any(len(v) != 8 * dim for v in batch["vec"]):
-            raise ValueError(f"vectors of other lengths than {dim}")
         x = np.frombuffer(b"".join(batch["vec"]), "float64").reshape(-1, dim)
         return x / np.sqrt((x * x).sum(1, keepdims=True))
 
@@ -235,5 +237,5 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, tables: int = 4, wi
     found = placed.groupBy("part").applyInPandas(rank, "key binary, vec_id long, score double").groupBy("key", "vec_id").agg(F.max("score").alias("score"))
     best = found.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "vec_id"))).where(F.col("_n") <= k + 1).drop("_n")
     mine = asked.join(cut(best), "key").where("query_id <> vec_id")
-    ranked = mine.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int"))
+    ranked = mine.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")).cast("int"))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -89,7 +89,8 @@ def contained(docs: DataFrame, benchmark: DataFrame, shingle_words: int = 5, thr
     # w is a column by now: an expression in its place would be evaluated again for every shingle
     doc_shingles = one.select("content", F.explode(shingle_texts(F.col("w"), shingle_words)).alias("shingle"))
     item_shingles = items.select("item", shingle_texts(F.col("w"), shingle_words).alias("s")).select("item", F.size("s").alias("shingles"), F.explode("s").alias("shingle"))
-    hits = doc_shingles.join(F.broadcast(item_shingles) if small else item_shingles, "shingle").groupBy("content", "item").agg(F.count(F.lit(1)).alias("shared"), F.first("shingles").cast("long").alias("shingles"))
+    item_shingles = staged(item_shingles)
+    hits = doc_shingles.join(F.broadcast(item_shingles) if item_shingles.count() <= broadcast_rows else item_shingles, "shingle").groupBy("content", "item").agg(F.count(F.lit(1)).alias("shared"), F.first("shingles").cast("long").alias("shingles"))
     return staged(pairs.join(hits, ["content", "item"]).where(F.col("shared") >= F.ceil(F.col("shingles") * threshold)))
 
 
@@ -103,7 +104,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle_words: int = 5,
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, shingle_words: int = 5, threshold: float = 0.8, broadcast_rows: int = 200_000) -> DataFrame:
     """The rows of docs that hold no test item, all columns."""
-    bad = contained(docs, benchmark, shingle_words, threshold, broadcast_rows).select(F.col("content").alias("_content")).distinct()
+    bad = contained(docs, benchmark, shingle_words, threshold, broadcast_rows).select("content").distinct()
     few = bad.count() <= broadcast_rows
-    keyed = docs.withColumn("_content", content_key(F.col("text")))
-    return keyed.join(F.broadcast(bad) if few else bad, "_content", "left_anti").select(*docs.columns)
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), content_key(F.col("text")).alias("content"))  # no column of docs can clash
+    return keyed.join(F.broadcast(bad) if few else bad, "content", "left_anti").select("row.*")

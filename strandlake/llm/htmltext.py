@@ -7,17 +7,20 @@ and table cells aligned in columns. Pages are independent, so this is one map ov
 and walk use explicit stacks, so depth is bounded by memory only.
 
 Not visible: scripts, styles, templates and other raw elements, the head, comments, elements with
-`hidden`, `display: none` or `visibility: hidden`, closed details except their summary, hidden
-inputs. Everything else counts as visible, navigation and advertisements included.
+`hidden` or `display: none`, text under `visibility: hidden` up to a `visibility: visible` inside,
+closed details except their summary, hidden inputs. Everything else counts as visible, navigation and advertisements included.
 
 Edge cases: null html gives empty text; text without any tag is a paragraph; unclosed and stray tags
-follow the implied-tag rules; repeated rows stay repeated; further columns are ignored.
+follow the implied-tag rules; very long pages are read whole, and indents stop at 400 places;
+repeated rows stay repeated; an empty table gives no rows; further columns, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -53,7 +56,8 @@ IMPLIED = {
     "body": ({"head"}, {"html"}),
 }
 _HEAD_ONLY = frozenset("title meta link base style script noscript template head html".split())
-_HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_HIDING = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)", re.I)
 
 
 class Node:
@@ -265,16 +269,18 @@ class Grid:
                 self.taken[c] = rowspan
 
     def layout(self) -> list[str]:
-        widths: dict[int, int] = {}
+        """The rows as lines; a column starts two places after every cell that ends before it, spanning ones too."""
+        cells: dict[int, list[tuple[int, int]]] = {}
         for row in self.rows:
             for at, span, lines in row:
-                widths.setdefault(at, 0)
-                if span == 1:
-                    widths[at] = max(widths[at], max(map(len, lines), default=0))
-        starts, x = {}, 0
-        for c in sorted(widths):
-            starts[c] = x
-            x += widths[c] + 2
+                cells.setdefault(at, []).append((span, max(map(len, lines), default=0)))
+        columns = sorted(cells)
+        starts, x = dict.fromkeys(columns, 0), 0
+        for c in columns:
+            x = starts[c] = max(starts[c], x)
+            for span, width in cells[c]:
+                if (j := bisect_left(columns, c + span)) < len(columns):
+                    starts[columns[j]] = max(starts[columns[j]], x + width + 2)
         out = []
         for row in self.rows:
             for k in range(max((len(lines) for _, _, lines in row), default=0)):
@@ -303,12 +309,13 @@ def render(root: Node) -> str:
     """The visible text of a tree."""
     flows, grids, lists = [Flow()], [], []
     pre = 0
-    todo: list = [(root, False)]
+    todo: list = [(root, False, True)]
     while todo:
-        node, leaving = todo.pop()
+        node, leaving, shown = todo.pop()
         flow = flows[-1]
         if isinstance(node, str):
-            flow.verbatim(node) if pre else flow.text(node)
+            if shown:
+                flow.verbatim(node) if pre else flow.text(node)
             continue
         tag = node.tag
         if leaving:
@@ -341,6 +348,11 @@ def render(root: Node) -> str:
             continue
         if not visible(node) and node is not root:
             continue
+        # visibility is inherited, and a child may be visible again
+        if (style := node.attrs.get("style")) and (said := _VISIBILITY.findall(style)):
+            shown = said[-1].lower() == "visible"
+        if not shown and tag in VOID:
+            continue
         if tag == "br":
             flow.newline()
             continue
@@ -377,7 +389,7 @@ def render(root: Node) -> str:
                 marker = f"{lists[-1][1]}. "
                 lists[-1][1] += 1
             flow.indents.append(min(flow.indents[-1] + len(marker), 400))
-            flow.marker = marker
+            flow.marker = marker if shown else ""
         elif tag in ("blockquote", "dd"):
             flow.indents.append(min(flow.indents[-1] + 2, 400))
         elif tag in ("pre", "textarea", "xmp"):
@@ -386,10 +398,10 @@ def render(root: Node) -> str:
         if tag == "details" and "open" not in node.attrs:
             keep = [c for c in keep if isinstance(c, Node) and c.tag == "summary"][:1]
         if tag in BLOCK or tag == "#root":
-            todo.append((node, True))
+            todo.append((node, True, shown))
         if tag in ("table", "thead", "tbody", "tfoot", "tr"):  # stray text between rows is white space
             keep = [c for c in keep if isinstance(c, Node) or c.strip()]
-        todo.extend((c, False) for c in reversed(keep))
+        todo.extend((c, False, shown) for c in reversed(keep))
     return "\n".join(flows[0].result())
 
 

@@ -11,7 +11,9 @@ leftmost, non-overlapping matches of each kind; a match that is too short is dro
 consumed its text.
 
 Edge cases: null content is the empty blob; paths without an id and repeated rows are joined like
-any other; an empty table gives no rows; very long texts are scanned whole.
+any other; an empty table gives no rows; very long texts are scanned whole; kinds that start at one
+place are listed in the order of the rules; further columns, whatever their names, are kept by
+redact() and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -56,6 +58,15 @@ BASE_RULES = RuleSet(
         Rule("hex", r"[0-9a-f]+", 24),
     ),
 )
+#: The base kinds and two that the method adds, as a rule version of its own.
+WIDER_RULES = RuleSet(
+    "wider-1",
+    (
+        *BASE_RULES.rules,
+        Rule("key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", 1, 0, False, ("PRIVATE KEY",)),
+        Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 1, 0, False, ("eyJ",)),
+    ),
+)
 #: Findings that are broadcast at most; more are joined by a shuffle.
 SPANS_BROADCAST = 200_000
 LEDGER = "blob string, rule_version string, findings array<struct<kind:string,start:long,end:long>>"
@@ -86,6 +97,10 @@ def content_address(content: Column) -> Column:
     return F.sha2(F.coalesce(content.cast("string"), F.lit("")).cast("binary"), 256)
 
 
+#: Digests that a task remembers to leave out copies; beyond, copies may travel, and are dropped after the shuffle.
+REMEMBERED = 1_000_000
+
+
 def _first_in_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     seen: set[bytes] = set()
     for batch in batches:
@@ -93,55 +108,79 @@ def _first_in_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keep = []
         for k in keys:
             keep.append(k not in seen)
-            seen.add(k)
+            if len(seen) < REMEMBERED:
+                seen.add(k)
         yield batch[keep]
 
 
-def scan_blobs(versions: DataFrame, rules: RuleSet = BASE_RULES, ledger: DataFrame | None = None) -> DataFrame:
-    """Ledger rows for the blobs of versions(content) that the ledger lacks under this version.
+def scan_blobs(versions: DataFrame, rules: RuleSet | tuple[RuleSet, ...] = BASE_RULES, ledger: DataFrame | None = None) -> DataFrame:
+    """Ledger rows for the pairs of a blob of versions(content) and a rule version that the ledger lacks.
 
-    A blob without findings gets a row too: that is what makes the next scan skip it.
+    A blob is read once for all the rule versions that it lacks. A blob without findings gets a row
+    too: that is what makes the next scan skip it.
     """
+    sets = (rules,) if isinstance(rules, RuleSet) else tuple(rules)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scanner, seen = Scanner(rules), set()
+        scanners = [(r.version, Scanner(r)) for r in sets]
         for batch in batches:
-            blobs, findings = [], []
-            for blob, text in zip(batch["blob"], batch["content"]):
-                if (key := bytes.fromhex(blob)) in seen:
-                    continue
-                seen.add(key)
-                blobs.append(blob)
-                findings.append([{"kind": k, "start": s, "end": e} for k, s, e in scanner(text)])
-            yield pd.DataFrame({"blob": blobs, "rule_version": rules.version, "findings": findings})
+            out = []
+            for blob, text, done in zip(batch["blob"], batch["content"], batch["done"]):
+                for version, scanner in scanners:
+                    if done is None or version not in done:
+                        out.append((blob, version, [{"kind": k, "start": s, "end": e} for k, s, e in scanner(text)]))
+            yield pd.DataFrame(out, columns=["blob", "rule_version", "findings"])
 
     blobs = versions.select(content_address(F.col("content")).alias("blob"), F.coalesce(F.col("content").cast("string"), F.lit("")).alias("content"))
-    if ledger is not None:
-        done = ledger.where(F.col("rule_version") == rules.version).select("blob")
-        blobs = blobs.join(done, "blob", "left_anti")
     once = blobs.mapInPandas(_first_in_task, "blob string, content string")
-    return once.repartition("blob").mapInPandas(scan, LEDGER)
+    if ledger is None:
+        # copies from several tasks meet in one, one text from each
+        once = once.withColumn("done", F.lit(None).cast("array<string>"))
+    else:
+        named = ledger.where(F.col("rule_version").isin(*[r.version for r in sets])).groupBy("blob").agg(F.collect_set("rule_version").alias("done"))
+        once = once.join(named, "blob", "left").where(F.col("done").isNull() | (F.size("done") < len(sets)))
+    return once.repartition("blob").mapInPandas(scan, LEDGER).dropDuplicates(["blob", "rule_version"]) if ledger is not None else once.repartition("blob").mapInPandas(_once(scan), LEDGER)
+
+
+def _once(scan):
+    """scan over the first row of each blob of a task; equal blobs are in one task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[str] = set()
+
+        def first() -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                fresh = [b not in seen and not seen.add(b) for b in batch["blob"]]
+                yield batch[fresh]
+
+        yield from scan(first())
+
+    return run
 
 
-def scan_versions(versions: DataFrame, rules: RuleSet = BASE_RULES, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(the ledger with the new rows, versions with their blob and findings).
+def scan_versions(versions: DataFrame, rules: RuleSet | tuple[RuleSet, ...] = BASE_RULES, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(the ledger with the new rows, versions with their blob and the findings of the last of the rules).
 
-    versions has `content` and any columns that name path and version; they are kept.
+    versions has `content` and any columns that name path and version; they are kept. The new rows are
+    a stored table; to keep the ledger, write it where the next scan finds it.
     """
     from .common import staged
 
+    last = rules.version if isinstance(rules, RuleSet) else rules[-1].version
     fresh = staged(scan_blobs(versions, rules, ledger))
     full = fresh if ledger is None else ledger.select("blob", "rule_version", "findings").unionByName(fresh)
-    known = full.where((F.col("rule_version") == rules.version) & (F.size("findings") > 0)).select("blob", "findings")
+    known = full.where((F.col("rule_version") == last) & (F.size("findings") > 0)).select("blob", "findings")
     named = versions.withColumn("blob", content_address(F.col("content"))).drop("content", "findings")
     empty = F.array().cast("array<struct<kind:string,start:long,end:long>>")
-    return full, named.join(known, "blob", "left").withColumn("findings", F.coalesce("findings", empty))
+    # all rows of one blob would meet in a task, so the findings go to them wherever their count allows
+    few = (known.agg(F.sum(F.size("findings"))).first()[0] or 0) <= SPANS_BROADCAST
+    return full, named.join(F.broadcast(known) if few else known, "blob", "left").withColumn("findings", F.coalesce("findings", empty))
 
 
-def document_secrets(docs: DataFrame, rules: RuleSet = BASE_RULES) -> DataFrame:
+def document_secrets(docs: DataFrame, rules: RuleSet = WIDER_RULES) -> DataFrame:
     """Per document: counts of the base kinds, the digest of the base spans, and all spans."""
     versions = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("content"))
-    _, found = scan_versions(versions, rules)
+    _, found = scan_versions(versions, (BASE_RULES, rules) if rules.version != BASE_RULES.version else rules)
     base = F.filter("findings", lambda f: f["kind"].isin("assign", "access", "hex"))
     listed = lambda spans: F.array_join(F.transform(spans, lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -150,16 +189,19 @@ def document_secrets(docs: DataFrame, rules: RuleSet = BASE_RULES) -> DataFrame:
 
 def redact(docs: DataFrame, rules: RuleSet = BASE_RULES, mask: str = "[secret]") -> DataFrame:
     """docs with every found span replaced; other columns and rows stay as they are."""
-    spare = staged_ledger(docs, rules).withColumnRenamed("blob", "_blob")
+    spare = staged_ledger(docs, rules)
     spans = spare.agg(F.sum(F.size("_findings"))).first()[0] or 0
-    blobs = docs.withColumn("_blob", content_address(F.col("text"))).join(F.broadcast(spare) if spans <= SPANS_BROADCAST else spare, "_blob", "left")
+    # the columns of docs are in a struct, so that none can clash with ours
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"), content_address(F.col("text")).alias("blob"))
+    blobs = own.join(F.broadcast(spare) if spans <= SPANS_BROADCAST else spare, "blob", "left")
     # spans of different kinds may overlap: the text between the furthest end so far and the next start stays
     step = lambda acc, f: F.struct(
         F.concat(acc["out"], F.when(f["start"] >= acc["at"], F.concat(F.col("text").substr(acc["at"].cast("int") + 1, (f["start"] - acc["at"]).cast("int")), F.lit(mask))).otherwise(F.lit(""))).alias("out"),
         F.greatest(acc["at"], f["end"]).alias("at"),
     )
     whole = F.aggregate("_findings", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), step, lambda acc: F.concat(acc["out"], F.col("text").substr(acc["at"].cast("int") + 1, F.length("text"))))
-    return blobs.withColumn("text", F.when(F.col("_findings").isNull(), F.col("text")).otherwise(whole)).select(*docs.columns)
+    masked = F.when(F.col("_findings").isNull(), F.col("text")).otherwise(whole)
+    return blobs.select(*[masked.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def staged_ledger(docs: DataFrame, rules: RuleSet = BASE_RULES) -> DataFrame:
