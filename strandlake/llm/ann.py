@@ -232,7 +232,11 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, tables: int = 4, wi
                             out["key"].append(keys[lo + i])
                             out["vec_id"].append(ident)
                             out["score"].append(exact[j])
-        return pd.DataFrame(out).astype({"vec_id": "int64", "score": "float64"})
+        found = pd.DataFrame(out).astype({"vec_id": "int64", "score": "float64"})
+        # a query's best of all cells here; no others can be among its best of all
+        found["q"] = pd.factorize(found["key"])[0]
+        found = found.drop_duplicates(["q", "vec_id"]).sort_values(["q", "score", "vec_id"], ascending=[True, False, True])
+        return found[found.groupby("q").cumcount() <= k][["key", "vec_id", "score"]]
 
     found = placed.groupBy("part").applyInPandas(rank, "key binary, vec_id long, score double").groupBy("key", "vec_id").agg(F.max("score").alias("score"))
     best = found.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "vec_id"))).where(F.col("_n") <= k + 1).drop("_n")
