@@ -24,25 +24,29 @@ def query(sql: str | None = None):
 
 
 _HITS = f"""{ad.SQL_CONTIGS}, rk AS (SELECT contig AS rchr, i AS rpos, substr(seq, CAST(i + 1 AS INTEGER), 20) AS kmer FROM (SELECT contig, seq, unnest(range(length - 19)) AS i FROM contigs WHERE genome = 0 AND length >= 20)),
-r1 AS (SELECT kmer, any_value(rchr) AS rchr, any_value(rpos) AS rpos FROM rk GROUP BY kmer HAVING count(*) = 1),
+rn AS (SELECT kmer, count(*) AS n FROM rk GROUP BY kmer),
 st AS (SELECT genome, contig, length, seq, '+' AS strand FROM contigs WHERE genome <> 0 AND length >= 20 UNION ALL SELECT genome, contig, length, reverse(translate(seq, 'ACGT', 'TGCA')), '-' FROM contigs WHERE genome <> 0 AND length >= 20),
 qk AS (SELECT genome, contig AS qchr, strand, length, i AS qpos, substr(seq, CAST(i + 1 AS INTEGER), 20) AS kmer FROM (SELECT *, unnest(range(length - 19)) AS i FROM st)),
-h AS (SELECT genome, qchr, strand, length, qpos, rchr, rpos, qpos - rpos AS diag FROM qk JOIN r1 USING (kmer))"""
+h AS (SELECT genome, qchr, strand, length, qpos, rchr, rpos, qpos - rpos AS diag FROM qk JOIN rk USING (kmer) JOIN rn USING (kmer) WHERE n <= 50)"""
+#: From the definition: the text of the whole match is looked up in the reference.
+_MEMS = f"""{_HITS}, g AS (SELECT *, qpos - row_number() OVER (PARTITION BY strand, genome, qchr, rchr, diag ORDER BY qpos) AS run FROM h),
+m AS (SELECT strand, genome, qchr, rchr, diag, run, any_value(length) AS length, min(qpos) AS q, min(rpos) AS rstart, count(*) + 19 AS len FROM g GROUP BY strand, genome, qchr, rchr, diag, run),
+mt AS (SELECT DISTINCT substr(c.seq, CAST(rstart + 1 AS INTEGER), CAST(len AS INTEGER)) AS text, rchr, rstart, len FROM m JOIN contigs c ON c.contig = m.rchr),
+mo AS (SELECT text FROM (SELECT DISTINCT text FROM mt) t JOIN rk ON rk.kmer = substr(text, 1, 20) JOIN contigs c ON c.contig = rk.rchr WHERE substr(c.seq, CAST(rk.rpos + 1 AS INTEGER), CAST(length(text) AS INTEGER)) = text GROUP BY text HAVING count(*) = 1),
+mems AS (SELECT strand, genome, qchr, m.rchr, CASE WHEN strand = '+' THEN q ELSE length - q - m.len END AS qstart, m.rstart, m.len FROM m JOIN mt ON m.rchr = mt.rchr AND m.rstart = mt.rstart AND m.len = mt.len JOIN mo USING (text))"""
 
 
-@query(f"""WITH {_HITS}, g AS (SELECT *, qpos - row_number() OVER (PARTITION BY strand, genome, qchr, rchr, diag ORDER BY qpos) AS run FROM h),
-m AS (SELECT strand, genome, qchr, rchr, diag, run, any_value(length) AS length, min(qpos) AS q, min(rpos) AS rstart, count(*) + 19 AS len FROM g GROUP BY strand, genome, qchr, rchr, diag, run)
-SELECT strand, genome, qchr, rchr, CASE WHEN strand = '+' THEN q ELSE length - q - len END AS qstart, rstart, len FROM m""")
+@query(f"WITH {_MEMS} SELECT * FROM mems")
 def maximal_exact_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Matches of 20 bases or more, unique in genome 0, on both strands of the other genomes."""
-    return seeds.maximal_matches(ad.contigs(spark, d), reference=0, k=20, most=1)
+    """Matches of 20 bases or more whose text occurs once in genome 0, on both strands of the other genomes."""
+    return seeds.maximal_matches(ad.contigs(spark, d), reference=0, k=20)
 
 
-@query(f"WITH {_HITS.split(', r1 AS')[0]} SELECT CAST(n AS BIGINT) AS occurrences, CAST(count(*) AS BIGINT) AS kmers FROM (SELECT kmer, count(*) AS n FROM rk GROUP BY kmer HAVING count(*) <= 50) GROUP BY n")
+@query(f"WITH {_HITS.partition(',' + chr(10) + 'rn AS')[0]} SELECT CAST(n AS BIGINT) AS occurrences, CAST(count(*) AS BIGINT) AS kmers FROM (SELECT kmer, count(*) AS n FROM rk GROUP BY kmer HAVING count(*) <= 50) GROUP BY n")
 def kmer_frequency_filter(spark: SparkSession, d: str) -> DataFrame:
     """Reference k-mers by how often they occur, up to the cap of 50."""
     ref = ad.contigs(spark, d).where("genome = 0")
-    n = seeds.kmers(ref, 20).groupBy("kmer").agg(F.count(F.lit(1)).alias("occurrences")).where("occurrences <= 50")
+    n = seeds.packed_kmers(ref, 20, both_strands=False).groupBy("kmer").agg(F.count(F.lit(1)).alias("occurrences")).where("occurrences <= 50")
     return n.groupBy("occurrences").agg(F.count(F.lit(1)).alias("kmers"))
 
 
@@ -118,17 +122,17 @@ def interval_selection_dp(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_HITS} SELECT strand, genome, CAST(count(*) AS BIGINT) AS anchors, CAST(count(*) AS BIGINT) AS correct FROM h GROUP BY strand, genome""")
 def anchor_validation(spark: SparkSession, d: str) -> DataFrame:
     """Seeds whose bases are equal in both texts: extracted again and compared."""
+    from ..functions.sequence import reverse_complement
+
     c = ad.contigs(spark, d)
-    hits = seeds.seed_hits(c, 0, 20, 1)
+    # hits of one contig pair and stretch share one row of texts
+    hits = seeds.seed_hits(c, 0, 20).withColumn("stretch", F.floor(F.col("qpos") / 16_384))
+    grouped = hits.groupBy("strand", "genome", "qchr", "rchr", "stretch").agg(F.collect_list(F.struct("qpos", "rpos")).alias("h"))
     q = c.select(F.col("contig").alias("qchr"), F.col("seq").alias("qs"))
     r = c.select(F.col("contig").alias("rchr"), F.col("seq").alias("rs"))
-    from ..functions.sequence import reverse_complement
-
-    own = F.when(F.col("strand") == "+", F.col("qs")).otherwise(reverse_complement(F.col("qs")))
-    # hits of one contig pair share one row of texts
-    grouped = hits.groupBy("strand", "genome", "qchr", "rchr").agg(F.collect_list(F.struct("qpos", "rpos")).alias("h"))
-    both = grouped.join(q, "qchr").join(r, "rchr").withColumn("own", own)
-    same = F.size(F.filter("h", lambda x: F.substring(F.col("own"), (x["qpos"] + 1).cast("int"), F.lit(20)) == F.substring(F.col("rs"), (x["rpos"] + 1).cast("int"), F.lit(20))))
+    both = grouped.join(q, "qchr").join(r, "rchr")
+    own = lambda x: F.substring(F.col("qs"), (x["qpos"] + 1).cast("int"), F.lit(20))
+    same = F.size(F.filter("h", lambda x: F.when(F.col("strand") == "+", own(x)).otherwise(reverse_complement(own(x))) == F.substring(F.col("rs"), (x["rpos"] + 1).cast("int"), F.lit(20))))
     return both.groupBy("strand", "genome").agg(F.sum(F.size("h")).cast("long").alias("anchors"), F.sum(same).cast("long").alias("correct"))
 
 
