@@ -115,3 +115,35 @@ def match_score(text: Column) -> Column:
 
 def band_width(qry: Column, ref: Column, rate: float = 0.1) -> Column:
     return (F.lit(200) + F.lit(rate) * (qry + ref / 2)).cast("long")
+
+
+def split_three(units: Column, first: Column, second: Column) -> tuple[Column, Column, Column]:
+    """(prefix, overlap, suffix) at two reference lengths; ops off the reference axis stay with the part they follow."""
+    a, rest = split_at(units, first)
+    b, c = split_at(rest, second - first)
+    return a, b, c
+
+
+def validated(units: Column, ref: Column, qry: Column) -> tuple[Column, Column]:
+    """(normalised units, error or null) of a segment's CIGAR against its lengths on both axes."""
+    tidy = coalesce_units(units)
+    error = F.when(reference_length(units) != ref, "reference length").when(query_length(units) != qry, "query length")
+    return tidy, error
+
+
+def preferred(units: Column, open_: int = 400, extend: int = 30, match: int = 91, mismatch: int = -114) -> tuple[Column, Column]:
+    """(score, whether it beats leaving both sides as two gaps) under affine costs; M counts as a mismatch."""
+    gaps = F.aggregate(units, F.lit(0).cast("long"), lambda acc, u: acc + F.when(u["op"].isin("I", "D") & (u["len"] > 0), open_ + extend * u["len"]).otherwise(0))
+    score = (match * total(units, ("=",)) + mismatch * total(units, ("M", "X")) - gaps).cast("long")
+    alone = lambda n: F.when(n > 0, open_ + extend * n).otherwise(0)
+    return score, score > -(alone(reference_length(units)) + alone(query_length(units)))
+
+
+def row_quality(ref: Column, qry: Column) -> tuple[Column, Column]:
+    """(identity over columns of two bases, share of the shorter side in such columns) of two aligned rows."""
+    pairs = F.arrays_zip(F.split(ref, "").alias("r"), F.split(qry, "").alias("q"))
+    both = F.size(F.filter(pairs, lambda p: (p["r"] != "-") & (p["q"] != "-") & (p["r"] != "") & (p["q"] != "")))
+    same = F.size(F.filter(pairs, lambda p: (p["r"] != "-") & (p["r"] == p["q"]) & (p["r"] != "")))
+    bases = lambda c: F.length(F.replace(c, F.lit("-"), F.lit("")))
+    shorter = F.least(bases(ref), bases(qry))
+    return F.when(both > 0, same / both).otherwise(F.lit(0.0)), F.when(shorter > 0, both / shorter).otherwise(F.lit(0.0))

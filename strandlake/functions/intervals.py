@@ -105,3 +105,31 @@ def chunks(spans: DataFrame, size: int, overlap: int = 0, least: int = 1) -> Dat
     cut = spans.withColumn("_n", count).select(*rest, "start", "end", "_n", F.posexplode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("chunk", "_k"))
     begin = F.col("start") + F.col("_k") * step
     return cut.select(*rest, F.col("chunk").cast("long").alias("chunk"), begin.alias("chunk_start"), F.when(F.col("_k") == F.col("_n") - 1, F.col("end")).otherwise(F.least(begin + size, F.col("end"))).alias("chunk_end"))
+
+
+def _separators(merged: DataFrame, key: list[str], separated: bool) -> DataFrame:
+    """Where each mask stands in the masked view, or in the one with separators."""
+    run = with_running(merged, key)
+    at = F.col("start") - F.col("before")
+    return run.select(*key, (at + F.col("nth") - 1 if separated else at).cast("long").alias("_x"))
+
+
+def _counted_before(points: DataFrame, marks: DataFrame, key: list[str], at: str) -> DataFrame:
+    """points with `_n`, the marks at or before, and `_last`, the last of them: union and one window."""
+    p = points.withColumn("_x", F.col(at).cast("long")).withColumn("_m", F.lit(0))
+    m = marks.withColumn("_m", F.lit(1))
+    both = p.unionByName(m, allowMissingColumns=True)
+    order = Window.partitionBy(*key).orderBy("_x", F.desc("_m")).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("_n", F.sum("_m").over(order)).withColumn("_last", F.max(F.when(F.col("_m") == 1, F.col("_x"))).over(order)).where("_m = 0")
+
+
+def to_separated(points: DataFrame, merged: DataFrame, key: list[str], at: str) -> DataFrame:
+    """Masked coordinates to those of the view with one separator for each mask."""
+    return _counted_before(points, _separators(merged, key, False), key, at).withColumn("separated", F.col(at) + F.col("_n")).drop("_x", "_m", "_n", "_last")
+
+
+def from_separated(points: DataFrame, merged: DataFrame, key: list[str], at: str) -> DataFrame:
+    """And back; null on a separator."""
+    found = _counted_before(points, _separators(merged, key, True), key, at)
+    on = F.coalesce(F.col("_last") == F.col(at), F.lit(False))
+    return found.withColumn("masked", F.when(~on, F.col(at) - F.col("_n"))).drop("_x", "_m", "_n", "_last")

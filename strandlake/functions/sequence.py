@@ -74,3 +74,15 @@ def locate(points: DataFrame, contigs: DataFrame, key: str, point: str, width: i
     spread = contigs.where("length > 0").withColumn("_bin", F.explode(F.sequence(first, last)))
     asked = points.withColumn("_bin", F.floor(F.col(point) / width))
     return asked.join(spread, [key, "_bin"]).where((F.col(point) >= F.col("offset")) & (F.col(point) < F.col("offset") + F.col("length"))).withColumn("local", F.col(point) - F.col("offset")).drop("_bin")
+
+
+def valid_position(start: Column, length: Column, contig_length: Column) -> Column:
+    """Whether a stretch lies inside its contig."""
+    return (start >= 0) & (length >= 0) & (start + length <= contig_length)
+
+
+def joined_parts(contigs: DataFrame, parts: DataFrame, key: str, separator: str) -> DataFrame:
+    """contigs(key, seq) to (key, text): parts(key, start, end) of seq in order, a separator between two."""
+    listed = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_p"))
+    cut = F.transform("_p", lambda p: F.substring(F.col("seq"), (p["start"] + 1).cast("int"), (p["end"] - p["start"]).cast("int")))
+    return contigs.join(listed, key).select(key, F.array_join(cut, separator).alias("text"))

@@ -2,30 +2,46 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 RUNS = "array<struct<start:bigint,end:bigint>>"
+_LOWER = re.compile("[a-z]+")
+
+
+@F.pandas_udf(RUNS)
+def _runs(texts: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else [{"start": m.start(), "end": m.end()} for m in _LOWER.finditer(t)] for t in texts], dtype=object)
 
 
 def lower_runs(text: Column) -> Column:
-    """Half-open runs of a-z, from the pieces between their borders: one step a run, not one a character."""
-    pieces = F.filter(F.split(text, "(?<=[a-z])(?![a-z])|(?<![a-z])(?=[a-z])"), lambda p: p != "")
+    """Half-open runs of a-z, one array a text; in Arrow batches, because an array that grows in a fold is copied at every step."""
+    return _runs(text.cast("string"))
 
-    def walk(acc: Column, piece: Column) -> Column:
-        end = acc["at"] + F.length(piece)
-        run = F.when(piece.rlike("^[a-z]"), F.array(F.struct(acc["at"].alias("start"), end.alias("end")))).otherwise(F.array().cast(RUNS))
-        return F.struct(end.alias("at"), F.concat(acc["runs"], run).alias("runs"))
 
-    return F.aggregate(pieces, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(RUNS).alias("runs")), walk)["runs"]
+@F.pandas_udf("string")
+def _lowered(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+    out = []
+    for text, begin, end in zip(texts, starts, ends):
+        if text is None or begin is None:
+            out.append(text)
+            continue
+        parts, at = [], 0
+        for a, b in zip(begin.tolist(), end.tolist()):
+            parts += [text[at:a], text[a:b].lower()]
+            at = b
+        out.append("".join([*parts, text[at:]]))
+    return pd.Series(out, dtype=object)
 
 
 def restore(text: Column, runs: Column) -> Column:
-    """text with its runs in lower case."""
-    cut = lambda a, n: F.substring(text, a.cast("int") + 1, n.cast("int"))
+    """text with its runs in lower case; in Arrow batches, because substring() walks its text from the start for every run."""
+    return _lowered(text, F.transform(runs, lambda r: r["start"]), F.transform(runs, lambda r: r["end"]))
 
-    def walk(acc: Column, r: Column) -> Column:
-        return F.struct(r["end"].alias("at"), F.concat(acc["out"], cut(acc["at"], r["start"] - acc["at"]), F.lower(cut(r["start"], r["end"] - r["start"]))).alias("out"))
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    return F.aggregate(runs, start, walk, lambda acc: F.concat(acc["out"], cut(acc["at"], F.length(text) - acc["at"])))
+def mirrored(runs: Column, length: Column) -> Column:
+    """Runs of the reverse strand of a text of that length."""
+    return F.reverse(F.transform(runs, lambda r: F.struct((length - r["end"]).cast("long").alias("start"), (length - r["start"]).cast("long").alias("end"))))

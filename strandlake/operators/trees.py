@@ -70,10 +70,31 @@ def z_score(left: Column, right: Column, gap: Column, theta: float = 1e-6) -> Co
     return (1 - F.pow(beta, left)) / theta * F.pow(beta, gap) * ((1 - F.pow(beta, right)) / theta)
 
 
-def terminal_ends(paths: DataFrame, lineages: int = 2) -> DataFrame:
-    """(end, lineages) of run ends that are the first or last of a contig in enough lineages."""
+def terminal_ends(paths: DataFrame, lineages: int = 2, lineage: Column | None = None) -> DataFrame:
+    """(end, lineages) of run ends that are the first or last of a contig in enough lineages; each leaf is one unless `lineage` says otherwise."""
+    paths = paths if lineage is None else paths.withColumn("_lineage", lineage)
     by = Window.partitionBy("leaf", "chr").orderBy("pos", "run")
     side = lambda right: F.col("run") * 2 + F.when(F.col("forward") == F.lit(right), 1).otherwise(0)
     at = paths.withColumn("first", F.row_number().over(by) == 1).withColumn("last", F.lead("run").over(by).isNull())
-    ends = at.where("first").select("leaf", side(False).alias("end")).unionByName(at.where("last").select("leaf", side(True).alias("end")))
-    return ends.groupBy("end").agg(F.count_distinct("leaf").alias("lineages")).where(F.col("lineages") >= lineages)
+    name = F.col("leaf" if lineage is None else "_lineage").alias("_of")
+    ends = at.where("first").select(name, side(False).alias("end")).unionByName(at.where("last").select(name, side(True).alias("end")))
+    return ends.groupBy("end").agg(F.count_distinct("_of").alias("lineages")).where(F.col("lineages") >= lineages)
+
+
+def weighted_adjacency(paths: DataFrame, branches: DataFrame, phi: float) -> DataFrame:
+    """(end1, end2, weight): every child that has the adjacency votes exp(-phi b), b its branch length in branches(leaf, branch_length)."""
+    by = Window.partitionBy("leaf", "chr").orderBy("pos", "run")
+    out = F.col("run") * 2 + F.when(F.col("forward"), 1).otherwise(0)
+    into = F.lead(F.col("run") * 2 + F.when(F.col("forward"), 0).otherwise(1)).over(by)
+    step = paths.select("leaf", out.alias("x"), into.alias("y")).where(F.col("y").isNotNull() & (F.col("x") != F.col("y")))
+    votes = step.select("leaf", F.least("x", "y").alias("end1"), F.greatest("x", "y").alias("end2")).distinct()
+    weight = F.exp(-phi * F.col("branch_length"))
+    return votes.join(F.broadcast(branches), "leaf").groupBy("end1", "end2").agg(F.sum(weight).alias("weight"))  # one row a leaf of the tree
+
+
+def named_root(tree: DataFrame, name: str, artificial: tuple[str, ...] = ()) -> DataFrame:
+    """The tree with the root called `name` where it has no name, an artificial one, or that of another node."""
+    others = tree.where("parent is not null").select(F.col("name").alias("_o")).distinct()
+    taken = tree.where("parent is null").join(others, F.col("name") == F.col("_o"), "left_semi").limit(1).count() > 0
+    bad = F.col("name").isNull() | F.col("name").isin(*artificial) | F.lit(taken)
+    return tree.withColumn("name", F.when(F.col("parent").isNull() & bad, F.lit(name)).otherwise(F.col("name")))
