@@ -7,8 +7,9 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-RUNS = "array<struct<start:bigint,end:bigint>>"
+RUNS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 _LOWER = re.compile("[a-z]+")
 
 
@@ -22,7 +23,7 @@ def lower_runs(text: Column) -> Column:
     return _runs(text.cast("string"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _lowered(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
     out = []
     for text, begin, end in zip(texts, starts, ends):
@@ -42,6 +43,11 @@ def restore(text: Column, runs: Column) -> Column:
     return _lowered(text, F.transform(runs, lambda r: r["start"]), F.transform(runs, lambda r: r["end"]))
 
 
+@F.pandas_udf(RUNS)
+def _mirrored(starts: pd.Series, ends: pd.Series, lengths: pd.Series) -> pd.Series:
+    return pd.Series([None if a is None else [{"start": n - y, "end": n - x} for x, y in zip(a[::-1].tolist(), b[::-1].tolist())] for a, b, n in zip(starts, ends, lengths)], dtype=object)
+
+
 def mirrored(runs: Column, length: Column) -> Column:
     """Runs of the reverse strand of a text of that length."""
-    return F.reverse(F.transform(runs, lambda r: F.struct((length - r["end"]).cast("long").alias("start"), (length - r["start"]).cast("long").alias("end"))))
+    return _mirrored(F.transform(runs, lambda r: r["start"]), F.transform(runs, lambda r: r["end"]), length)

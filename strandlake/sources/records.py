@@ -40,7 +40,8 @@ def prefix_overlap(records: DataFrame, taken: DataFrame, key: list[str], reverse
         return found.select(*key, *rest, (-F.col("end")).alias("start"), (-F.col("start")).alias("end"), "overlap")
     held = taken.select(*key, F.col("start").alias("_s"), F.col("end").alias("_e"))
     found = iv.as_of(records, held, key, "start", "_s", ["_e"])
-    return found.withColumn("overlap", F.greatest(F.lit(0), F.least("_e", "end") - F.col("start"))).withColumn("overlap", F.coalesce("overlap", F.lit(0)).cast("long")).drop("_e")
+    shared = F.when(F.col("_e").isNotNull(), F.greatest(F.lit(0), F.least("_e", "end") - F.col("start"))).otherwise(0)
+    return found.withColumn("overlap", shared.cast("long")).drop("_e")
 
 
 def free_fragments(records: DataFrame, blocked: DataFrame, least: int = 1) -> DataFrame:
