@@ -208,7 +208,13 @@ def _trim(row: dict, target: int, query: int) -> dict | None:
         out["query_end"] -= gone_q
     out["cigar"] = "".join(f"{n}{op}" for op, n in rest)
     out["block_length"] = sum(n for _, n in rest)
-    out["matches"] = min(out["matches"], sum(n for op, n in rest if op in cg.ALIGNED))
+    if not any(op in cg.ALIGNED for op, _ in rest):
+        return None
+    # = columns count as they are; what the record says beyond them is spread evenly over its M columns
+    count = lambda own, kind: sum(n for op, n in own if op == kind)
+    whole, kept = count(units, "M"), count(rest, "M")
+    spread = min(whole, max(0, row["matches"] - count(units, "=")))
+    out["matches"] = count(rest, "=") + (kept * spread // whole if whole else 0)
     return out
 
 

@@ -9,12 +9,10 @@ import pytest
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUICK = [
-    "assembly_n50", "reference_order", "global_to_local", "merge_mask_intervals", "mask_complement", "mask_summary", "mask_position_map", "masked_to_original",
-    "interval_overlap_join", "asof_segment_lookup", "chunk_regions", "thread_schedule", "merge_same_diagonal", "cigar_summary", "cigar_split", "pair_projection",
-    "elementary_runs", "base_vote", "weighted_consensus", "exact_relations", "elementary_block_split", "contiguous_block_merge", "extension_candidates", "graph_checks",
-    "leaf_distance", "adjacency_support", "terminal_ends", "maf_rows",
-]
+def oracles():
+    from strandlake.plans.catalogue import ORACLES
+
+    return sorted(ORACLES)
 
 
 def shown(v):
@@ -42,7 +40,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", oracles())
 def test_oracle(spark, duck, name):
     from strandlake.plans.catalogue import ORACLES, QUERIES
 
@@ -206,3 +204,51 @@ def test_the_library_stands_without_the_corpus_operators():
     for p in top.rglob("*.py"):
         if "llm" not in p.relative_to(top).parts:
             assert not re.search(r"(import|from)[^\n]*\bllm\b", p.read_text()), p
+
+
+def test_a_repeat_inside_a_match_does_not_cut_it(spark):
+    from strandlake.operators.seeds import maximal_matches
+
+    rng = random.Random(8)
+    dna = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    repeat, left, right = dna(24), dna(40), dna(40)
+    own = left + repeat + right
+    ref = dna(30) + own + dna(50) + repeat + dna(30)
+    other = str.maketrans("ACGT", "TGCA")
+    qry = dna(25) + own + dna(20)
+    rows = [(0, 1, ref, len(ref)), (1, 2, qry, len(qry)), (1, 3, qry[::-1].translate(other), len(qry)), (1, 4, None, None), (1, 5, "ACGT", 4)]
+    contigs = spark.createDataFrame(rows, "genome long, contig long, seq string, length long")
+    got = {(r.strand, r.qchr, r.qstart, r.rstart, r.len) for r in maximal_matches(contigs, 0, k=20).collect()}
+    assert {(s, q) for s, q, *_ in got} == {("+", 2), ("-", 3)}
+    assert all(n >= len(own) for *_, n in got) and len(got) == 2
+    every = maximal_matches(contigs, 0, k=20, unique=False).collect()
+    assert {r.rstart for r in every if r.qchr == 2} >= {30, 30 + len(own) + 50}
+
+
+def test_doubles_of_matches():
+    from strandlake.operators.chain import drop_duplicated
+
+    row = lambda q, r, n: {"qstart": q, "rstart": r, "len": n}
+    left = lambda *rows: [tuple(x) for x in drop_duplicated(pd.DataFrame(rows)).to_numpy().tolist()]
+    assert left(row(0, 0, 30), row(20, 20, 40)) == [(0, 0, 60)]  # one diagonal
+    assert left(row(0, 0, 30), row(0, 10, 20)) == [(0, 0, 30)]  # one query start: the shorter goes
+    assert left(row(0, 0, 10), row(0, 9, 40)) == [(0, 0, 10), (0, 9, 40)]  # too little is shared
+    assert left(row(0, 5, 20), row(4, 5, 20)) == [(0, 5, 20), (4, 5, 20)]  # a tie: the later is in doubt
+    assert left(row(0, 5, 20), row(4, 5, 20), row(8, 5, 20)) == [(0, 5, 20), (8, 5, 20)]
+
+
+def test_trimmed_records_spread_their_matches():
+    from strandlake.sources.formats import _trim
+
+    row = {"target_start": 0, "target_end": 20, "query_start": 0, "query_end": 20, "strand": "+", "cigar": "10M10=", "matches": 15, "block_length": 20}
+    out = _trim(row, 4, 4)
+    assert (out["cigar"], out["matches"], out["target_start"]) == ("6M10=", 13, 4)
+    assert _trim(row, 20, 20) is None
+
+
+def test_plans_of_chunks():
+    from strandlake.sources.records import balanced_chunks
+
+    costs = [(i, c) for i, c in enumerate([9, 8, 7, 3, 2, 1])]
+    got = balanced_chunks(costs, 3)
+    assert sorted(sum(c for i, c in costs if got[i] == k) for k in range(3)) == [10, 10, 10]
