@@ -639,3 +639,107 @@ def test_copies_in_the_trusted_text_leave_every_word_a_probability(spark):
     model = train(spark.createDataFrame([(t,) for t in once * 2], "text string"))
     got = scored(spark.createDataFrame([("never seen words after the river",)], "text string"), model).first()
     assert np.isfinite(got._log) and got._log < 0
+
+
+# ------------------------------------------------------------------ awkward rows
+
+
+def test_encoder_with_a_full_memory():
+    from tokenizers import Tokenizer
+
+    from strandlake.llm.packing import WordEncoder
+    from strandlake.llm.queries import tokenizer_path
+
+    encode, tok = WordEncoder(tokenizer_path(), remembered=3), Tokenizer.from_file(tokenizer_path())
+    for text in ("a b c", "  d a", "  e   a", "x" * 200_000, "a  ", None):
+        want = np.array(tok.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
+        assert encode.encode([text]) == [want]
+
+
+def test_substrings_of_one_word_and_hot_passages(spark):
+    from strandlake.llm.substrings import deduplicate
+
+    rng = __import__("random").Random(21)
+    passage = fx.prose(rng, 60)
+    texts = ["word " * 20_000, "word " * 40, "word " * 12] + [fx.prose(rng, 20) + " " + passage + " " + fx.prose(rng, 20) for _ in range(60)] + [passage] * 40
+    rows = [(i, t, None, None, None, None, None, None) for i, t in enumerate(texts)]
+    rows += [rows[5], rows[70], (None, passage, None, None, None, None, None, None)]
+    for bound, whole in ((20_000, 300_000), (5, 0)):
+        got = deduplicate(fx.docs(spark, rows), window=13, segment_bound=bound, broadcast_rows=whole, group_bytes=4_000, bucket_bytes=30_000).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("s")).collect()
+        assert Counter(map(tuple, got)) == brute_substrings(rows, 13)
+
+
+def test_shards_against_a_loop(spark):
+    import xxhash
+
+    from strandlake.llm.sharding import rendezvous
+
+    def u(key, shard):
+        h = xxhash.xxh64_intdigest(str(key).encode(), xxhash.xxh64_intdigest(f"shard-{shard}".encode(), 42))
+        return ((h >> 12) + 0.5) / (1 << 52)
+
+    weights = [1.0, 2.0, 0.0, 0.5]
+    got = {r.id: r.s for r in spark.range(300).select("id", rendezvous(F.col("id"), weights).alias("s")).collect()}
+    for key, shard in got.items():
+        assert shard == max((i for i, w in enumerate(weights) if w), key=lambda i: -weights[i] / np.log(u(key, i)))
+
+
+def test_awkward_vectors(spark):
+    from strandlake.llm.ann import nearest
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(120, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [rows[0], rows[50], (500, (x[3] * 1e-180).tolist()), (501, (x[4] * 1e200).tolist()), (502, [1.0, 2.0]), (503, []), (504, None), (505, [0.0] * 8), (None, x[1].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = nearest(df, k=5, every=50, m=2, probes=64, tables=8)
+    by = defaultdict(list)
+    for r in got.collect():
+        by[r.query_id].append((r["rank"], r.vec_id, r.score))
+    assert set(by) == {0, 50, 100, 500}
+    for q, found in by.items():
+        assert sorted(n for n, *_ in found) == [1, 2, 3, 4, 5] and len({v for _, v, _ in found}) == 5
+    assert [v for _, v, s in sorted(by[500])][0] == 3 and abs(sorted(by[500])[0][2] - 1) < 1e-12
+
+
+def test_columns_that_clash(spark):
+    from strandlake.llm import decontaminate, quality, secrets
+    from strandlake.llm.simhash import similar_documents
+
+    names = ["keep", "_n", "threshold", "perplexity", "row", "n", "limit", "blob", "_findings", "_blob", "content", "_content", "node", "key"]
+    text = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" password: abcdef1234"))).otherwise(F.col("text"))
+    docs = fx.docs(spark).select("doc_id", text.alias("text"), "lang", *[F.lit(f"x-{c}").alias(c) for c in names])
+    labels = docs.where("doc_id is not null").select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"), F.lit(1).alias("keep")).distinct()
+    bench = spark.createDataFrame([(1, "no such text at all here")], "item_id long, text string")
+    for out in (quality.keep_good(docs, labels), decontaminate.clean_documents(docs, bench), secrets.redact(docs)):
+        assert out.columns == docs.columns
+        assert all(r[c] == f"x-{c}" for r in out.collect() for c in names)
+    assert similar_documents(docs).count() == docs.count()
+    assert any("[secret]" in (r.text or "") for r in secrets.redact(docs).collect())
+
+
+def test_both_ways_of_scoring_decide_alike(spark):
+    from strandlake.llm.quality import classify
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    one, two = (Counter((r.doc_id, r.n_words, r.keep, round(r.perplexity, 4)) for r in classify(docs, labels, table_bound=b).collect()) for b in (4_000_000, 0))
+    assert one == two
+
+
+def test_components_in_one_task_and_in_rounds(spark):
+    from strandlake.llm.common import components
+
+    rng = __import__("random").Random(3)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)]
+    edges = spark.createDataFrame(links, "src long, dst long")
+    one, two = ({r.node: r.component for r in components(edges, local_links=n).collect()} for n in (10**6, 0))
+    assert one == two
+
+
+def test_visible_text_and_spans():
+    from strandlake.llm.htmltext import extract
+
+    assert extract('<div style="visibility:hidden">a<span style="visibility: visible">b</span>c</div>') == "b"
+    lines = extract("<table><tr><td colspan=2>a long header<td>x</tr><tr><td>1<td>2<td>3</table>").split("\n")
+    assert lines[0].index("x") == lines[1].index("3")
