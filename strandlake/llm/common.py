@@ -49,15 +49,15 @@ def small_batches(spark: SparkSession, records: int = BATCH) -> Iterator[None]:
         spark.conf.set(name, str(before))
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: lineage ends there.
+def staged(df: DataFrame, records: int = BATCH) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back: lineage ends there; Python gets at most `records` rows at once.
 
     Lost executors cost a reread, not a recomputation, and row numbering over the table is stable.
     scratch() deletes the tables that are staged inside it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
-    with small_batches(spark):
+    with small_batches(spark, records):
         df.write.option("compression", "zstd").parquet(path)
     if _open:
         _open[-1].append((spark, path, None))

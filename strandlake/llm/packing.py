@@ -38,7 +38,7 @@ PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Entries that a worker remembers, of words and of runs.
 REMEMBERED = 600_000
 #: Texts encoded together; their words are in memory at once.
-AT_ONCE = 256
+AT_ONCE = 2_000
 _NONE = np.int64(1 << 40)
 
 
@@ -283,7 +283,7 @@ def pack(cut_pieces: DataFrame, capacity: int = 2048, max_docs: int | None = Non
     """
     max_docs = max_docs or capacity
     max_cost = float(max_cost or capacity * capacity)
-    table = staged(cut_pieces)
+    table = staged(cut_pieces, AT_ONCE)
     # the place in the staged table decides the group: stable under retries, and equal rows spread
     placed = table.withColumn("_at", F.monotonically_increasing_id())
     alone = placed.where(F.col("length") >= capacity)
