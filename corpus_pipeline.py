@@ -60,7 +60,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read back."""
+    """All stages over documents, each written and read back; a stage's table goes when the next one is written."""
     docs = table(spark, sf_dir, "documents")
     at = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
@@ -68,4 +68,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{at}/{k}-{name}")
             docs = spark.read.parquet(f"{at}/{k}-{name}")
+            if k:
+                old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/{k - 1}-{STAGES[k - 1][0]}")
+                old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
     return docs
