@@ -137,7 +137,11 @@ def test_scans_against_text_search(spark, mode, most, skip):
     query = dna(13) + ref[60:150] + "A" + ref[160:230] + dna(20) + ref[20:75] + repeat + dna(9)
     back = query[::-1].translate(str.maketrans("ACGT", "TGCA"))
     contigs = spark.createDataFrame([(0, 0, ref, len(ref)), (1, 1, query, len(query)), (1, 2, back, len(back)), (1, 3, "", 0)], "genome long, contig long, seq string, length long")
-    got = sorted((r.qchr, r.strand, r.qstart, r.rstart, r.len) for r in scan_matches(contigs, 0, 12, mode, most, skip).collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # stretches go on over batches
+    try:
+        got = sorted((r.qchr, r.strand, r.qstart, r.rstart, r.len) for r in scan_matches(contigs, 0, 12, mode, most, skip).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     want = sorted((c, *m) for c, q in ((1, query), (2, back)) for s in "+-" for m in _scan(ref, q, s, mode, 12, most, skip))
     assert got == want and len(got) > 3
 
