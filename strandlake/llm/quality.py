@@ -1,7 +1,7 @@
 """Operator 10: a quality classifier from an interpolated modified Kneser-Ney trigram model.
 
-The model is trained on trusted text: documents labelled good and not toxic, at most `max_trusted` of them (the
-smallest hashes of doc_id in the training half). Counts are sharded by n-gram and joined: trigram
+The model is trained on trusted text: documents labelled good and not toxic, all of the half that a
+hash of doc_id picks for training. Counts are sharded by n-gram and joined: trigram
 counts give the continuation counts of bigrams, those the counts of words; each order has three
 discounts from its counts of counts, and a join of every n-gram with its context's total and with
 the probability of its suffix gives the interpolated probability. Unknown words share the uniform
@@ -30,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import CACHES, cut, kept, scratch, staged, tidy
@@ -219,15 +219,33 @@ def scored(docs: DataFrame, model: Model, table_bound: int = 4_000_000) -> DataF
 
 #: Thresholds that are broadcast at most; a longer list of languages is joined by a shuffle.
 BROADCAST_LANGUAGES = 100_000
+#: Ids of training documents that are broadcast at most; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 
 
-def judged(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, max_trusted: int = 2_000, prior: float = 20.0, least: int = 50, table_bound: int = 4_000_000) -> DataFrame:
+def _limits(losses: DataFrame, quantile: float) -> DataFrame:
+    """group, k (rows) and limit of losses(group, loss): the smallest loss that at least the given part of a group's rows don't exceed.
+
+    The limit is exact. A sketch brackets it, ten times wider than the sketch can err; only what lies in the bracket is sorted.
+    """
+    ends = F.percentile_approx("loss", F.array(F.lit(max(quantile - 1e-3, 0.0)), F.lit(min(quantile + 1e-3, 1.0))), 10_000)
+    near = losses.groupBy("group").agg(ends.alias("e"), F.count(F.lit(1)).alias("k"))
+    near = cut(near.select("group", "k", F.col("e")[0].alias("lo"), F.col("e")[1].alias("hi")))
+    rows = losses.join(F.broadcast(near) if near.count() <= BROADCAST_LANGUAGES else near, "group")
+    below = rows.groupBy("group").agg(F.count(F.when(F.col("loss") < F.col("lo"), 1)).alias("below"))
+    inside = rows.where("loss >= lo and loss <= hi").groupBy("group", "k", "loss").agg(F.count(F.lit(1)).alias("m"))
+    upto = F.sum("m").over(Window.partitionBy("group").orderBy("loss"))
+    ranked = inside.withColumn("upto", upto).join(below, "group").where(F.col("below") + F.col("upto") >= F.ceil(F.lit(quantile) * F.col("k")))
+    return ranked.groupBy("group", "k").agg(F.min("loss").alias("limit"))
+
+
+def judged(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, prior: float = 20.0, least: int = 50, table_bound: int = 4_000_000) -> DataFrame:
     """row (all columns of docs as a struct), n, perplexity, threshold and keep for every row of docs."""
     with scratch():  # of the model's tables
-        return _judged(docs, labels, quantile, max_trusted, prior, least, table_bound)
+        return _judged(docs, labels, quantile, prior, least, table_bound)
 
 
-def _judged(docs: DataFrame, labels: DataFrame, quantile: float, max_trusted: int, prior: float, least: int, table_bound: int) -> DataFrame:
+def _judged(docs: DataFrame, labels: DataFrame, quantile: float, prior: float, least: int, table_bound: int) -> DataFrame:
     # inside a struct the columns of docs can't clash with any of ours
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     own = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), F.col("text").cast("string").alias("text"))
@@ -235,8 +253,8 @@ def _judged(docs: DataFrame, labels: DataFrame, quantile: float, max_trusted: in
     toxic = F.max("toxic") if "toxic" in labels.columns else F.lit(0)
     labelled = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(good, F.coalesce(toxic, F.lit(0)).alias("toxic")).where("good = 1 and toxic = 0").select("doc_id")
     half = F.pmod(F.xxhash64("doc_id", F.lit("trusted")), F.lit(2))
-    sample = cut(labelled.where(half == 0).orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id").limit(max_trusted))
-    model = train(own.join(F.broadcast(sample), "doc_id", "left_semi"))  # at most max_trusted ids
+    taught = cut(labelled.where(half == 0))
+    model = train(own.join(F.broadcast(taught) if taught.count() <= BROADCAST_IDS else taught, "doc_id", "left_semi"))
     if model is None:
         none = F.lit(None).cast("double")
         return own.select("row", F.lit(0).cast("long").alias("n"), none.alias("perplexity"), none.alias("threshold"), F.lit(True).alias("keep"))
@@ -246,9 +264,10 @@ def _judged(docs: DataFrame, labels: DataFrame, quantile: float, max_trusted: in
     sums = held.agg(F.sum("_log"), F.sum("_n")).first()
     mean = -(sums[0] / sums[1]) if sums[1] else -float(np.log(model.unknown))
     loss = F.round((prior * mean - F.col("_log")) / (F.col("_n") + prior), 9)  # either way of scoring gives the same digits
-    cut_at = F.percentile_approx(loss, quantile, 10_000).alias("limit")
-    common = held.agg(cut_at).first()[0]
-    limits = cut(held.groupBy("lang").agg(cut_at, F.count(F.lit(1)).alias("k")).where((F.col("k") >= least) & F.col("lang").isNotNull()).select("lang", "limit"))
+    losses = cut(held.select("lang", loss.alias("loss")))
+    common = _limits(losses.select(F.lit(0).alias("group"), "loss"), quantile).agg(F.max("limit")).first()[0]
+    own_limits = _limits(losses.where("lang is not null").select(F.col("lang").alias("group"), "loss"), quantile)
+    limits = cut(own_limits.where(F.col("k") >= least).select(F.col("group").alias("lang"), "limit"))
     limited = table.join(F.broadcast(limits) if limits.count() <= BROADCAST_LANGUAGES else limits, "lang", "left")
     limit = F.coalesce("limit", F.lit(float("inf") if common is None else common))
     return limited.select("row", F.col("_n").alias("n"), F.exp(loss).alias("perplexity"), F.exp(limit).alias("threshold"), (loss <= limit).alias("keep"))

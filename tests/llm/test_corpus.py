@@ -631,6 +631,40 @@ def test_quality_keeps_and_rejects(spark):
     assert classify(fx.empty(spark), labels).count() == 0
 
 
+def test_all_trusted_documents_teach(spark):
+    from strandlake.llm.quality import classify
+
+    from .test_pipeline import plain_losses
+
+    texts = [f"own{i} the river own{i % 1_500} runs" for i in range(5_000)]  # about 2,500 of them teach
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = df.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    half = {r.doc_id: r.h for r in df.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit("trusted")), F.lit(2)).alias("h")).collect()}
+    logs, _ = plain_losses([t for i, t in enumerate(texts) if half[i] == 0], texts)
+    held = [i for i in range(5_000) if half[i] == 1]
+    mean = -sum(logs[i][0] for i in held) / sum(logs[i][1] for i in held)
+    loss = [(20 * mean - a) / (n + 20) for a, n in logs]
+    limit = sorted(loss[i] for i in held)[-(-99 * len(held) // 100) - 1]
+    for bound in (4_000_000, 0):
+        got = classify(df, labels, table_bound=bound).collect()
+        assert len(got) == 5_000
+        for r in got:
+            assert abs(np.log(r.perplexity) - loss[r.doc_id]) < 1e-5 and abs(np.log(r.threshold) - limit) < 1e-5
+
+
+def test_limits_are_exact(spark):
+    from strandlake.llm.quality import _limits
+
+    rng = np.random.default_rng(8)
+    own = {g: np.round(rng.normal(size=n), 3 if g == "a" else 9) for g, n in (("a", 30_000), ("b", 60), ("c", 1), ("d", 200_000))}
+    import pandas as pd
+
+    rows = pd.concat([pd.DataFrame({"group": g, "loss": v}) for g, v in own.items()])
+    for q in (0.99, 0.5, 1.0):
+        got = {r.group: (r.k, r.limit) for r in _limits(spark.createDataFrame(rows), q).collect()}
+        assert got == {g: (len(v), np.sort(v)[int(np.ceil(q * len(v))) - 1]) for g, v in own.items()}
+
+
 def test_copies_in_the_trusted_text_leave_every_word_a_probability(spark):
     from strandlake.llm.quality import scored, train
 
