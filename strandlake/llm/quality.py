@@ -24,17 +24,19 @@ ignored otherwise.
 
 from __future__ import annotations
 
+import dataclasses
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CACHES, cut, kept, scratch, staged, tidy
-from .hashing import HashIndex, combine
+from . import ngrams
+from .common import cut, kept, pieces, scratch, staged
 from .words import Words
 
 #: What stands before a document's first word.
@@ -67,30 +69,45 @@ class Model:
     w2: DataFrame
     p1: DataFrame
     unknown: float
-    mean: float = 0.0
 
-    def entries(self) -> int:
-        return sum(t.count() for t in (self.p3, self.w3, self.p2, self.w2, self.p1))
+
+@dataclass
+class Packed:
+    """Shards of counts (shard, blob), the words by code, the numbers that all shards need, entries and each shard's share of the tokens."""
+
+    counts: DataFrame
+    hashes: Broadcast
+    numbers: ngrams.Numbers
+    entries: int
+    shares: np.ndarray
+
+
+#: Words of a lexicon that is shipped at most; trained tokens of a shard; characters of documents that meet a shard, and whose sums meet, in one task; bits of the largest filter, as a power of two.
+WORD_BOUND, SHARD_TOKENS, SPLIT_CHARS, BUCKET_CHARS, MOST_BITS = 6_000_000, 1_250_000, 100_000_000, 100_000_000, 28
 
 
-def _discounts(counts: DataFrame) -> list[float]:
-    """Modified Kneser-Ney discounts for counts of 1, 2, and 3 or more.
+def _discounts(n: list[int]) -> list[float]:
+    """Modified Kneser-Ney discounts for counts of 1, 2, and 3 or more; n counts of 1, 2, 3 and 4.
 
     Copies in the trusted text can make the estimate zero or negative, and a zero discount would give
     unseen words no probability at all; so discounts are at least LEAST_DISCOUNT.
     """
-    n = {r["k"]: r["count"] for r in counts.groupBy(F.least("n", F.lit(5)).alias("k")).count().collect()}
-    n = [0] + [n.get(i, 0) for i in (1, 2, 3, 4)]
+    n = [0, *map(int, n)]
     y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.0
     return [min(max(i - (i + 1) * y * n[i + 1] / n[i], LEAST_DISCOUNT), float(i)) if n[i] else LEAST_DISCOUNT for i in (1, 2, 3)]
 
 
+def _tally(counts: DataFrame) -> list[int]:
+    n = {r["k"]: r["count"] for r in counts.groupBy(F.least("n", F.lit(5)).alias("k")).count().collect()}
+    return [n.get(i, 0) for i in (1, 2, 3, 4)]
+
+
 def _take(d: list[float]) -> Column:
     return F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
 
 
-def train(trusted: DataFrame) -> Model | None:
-    """The model of trusted(text); None if that holds no word."""
+def _train_by_joins(trusted: DataFrame) -> Model:
+    """The model of trusted(text) as whole n-grams' counts, for more words than a lexicon should hold."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -101,9 +118,7 @@ def train(trusted: DataFrame) -> Model | None:
     c2 = cut(c3.groupBy("b", "c").agg(F.count(F.lit(1)).alias("n")))
     c1 = cut(c2.groupBy("c").agg(F.count(F.lit(1)).alias("n")))
     types, total = c1.agg(F.count(F.lit(1)), F.sum("n")).first()
-    if not types:
-        return None
-    d3, d2, d1 = _discounts(c3), _discounts(c2), _discounts(c1)
+    d3, d2, d1 = (_discounts(_tally(c)) for c in (c3, c2, c1))
     spare = c1.agg(F.sum(_take(d1))).first()[0]
     unknown = spare / total / (2 * types)
     p1 = c1.select("c", ((F.col("n") - _take(d1)) / total + unknown).alias("p"))
@@ -122,57 +137,48 @@ def train(trusted: DataFrame) -> Model | None:
     return Model(single(p3.select("a", "b", "c", "p")), single(w3.select("a", "b", "w")), single(p2), single(w2.select("b", "w")), single(p1), unknown)
 
 
-def _compact(df: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, values) of a table; the keys are made where the rows are, so 12 bytes an entry travel."""
-
-    def key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            parts = [batch[c].to_numpy("int64") for c in batch.columns if c != value]
-            yield pd.DataFrame({"key": combine(*parts) if len(parts) > 1 else parts[0], "v": batch[value].to_numpy("float32")})
-
-    found = df.mapInPandas(key, "key long, v float").toArrow()
-    return found["key"].to_numpy(), found["v"].to_numpy()
-
-
-def compact(model: Model) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """The model's tables as arrays, to be broadcast; workers build their hash tables of them."""
-    return {name: _compact(getattr(model, name), name[0]) for name in ("p3", "w3", "p2", "w2", "p1")}
-
-
-class Table:
-    """The model in memory."""
-
-    def __init__(self, arrays: dict[str, tuple[np.ndarray, np.ndarray]], unknown: float):
-        for name, (keys, values) in arrays.items():
-            setattr(self, name, HashIndex(keys, values))
-        self.unknown = unknown
-
-    @staticmethod
-    def of(name: str, shipped, unknown: float) -> Table:
-        """The worker's table for a broadcast of that name; only the last one stays, and its arrays go once it is built."""
-        held = CACHES.setdefault("kneser-ney", {})
-        if name not in held:
-            tidy()
-            held[name] = Table(shipped.value, unknown)
-            shipped.__dict__.pop("_value", None)  # read again from its file if it is asked for
-            tidy("kneser-ney")
-        return held[name]
-
-    def logs(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """Natural log-probability of each c after (a, b)."""
-
-        def look(t: HashIndex, keys: np.ndarray, missing: float) -> np.ndarray:
-            at = t.find(keys)
-            return np.where(at >= 0, t.values[0][at].astype("float64"), missing)
-
-        p = look(self.p3, combine(a, b, c), -1.0)
-        rest = np.flatnonzero(p < 0)
-        a, b, c = a[rest], b[rest], c[rest]
-        q = look(self.p2, combine(b, c), -1.0)
-        low = np.flatnonzero(q < 0)
-        q[low] = look(self.w2, b[low], 1.0) * look(self.p1, c[low], self.unknown)
-        p[rest] = look(self.w3, combine(a, b), 1.0) * q
-        return np.log(p)
+def train(trusted: DataFrame, word_bound: int = WORD_BOUND) -> Packed | Model | None:
+    """The model of trusted(text); None if that holds no word. More than word_bound words are counted by joins."""
+    sc = trusted.sparkSession.sparkContext
+    words = staged(trusted.select("text").mapInPandas(ngrams.word_counts, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")))
+    types, tokens = words.agg(F.count(F.lit(1)), F.sum("n")).first()
+    if not types:
+        return None
+    if types > word_bound:
+        return _train_by_joins(trusted)
+    found = words.toArrow()
+    c, n = found["c"].to_numpy(), found["n"].to_numpy()
+    hashes = c[np.lexsort((c, -n))]
+    shards, bits = pieces(tokens, SHARD_TOKENS), min(max(int(8 * tokens).bit_length(), 12), MOST_BITS)
+    shipped, name = sc.broadcast(hashes), uuid.uuid4().hex  # at most word_bound words
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return ngrams.packed_counts(batches, ngrams.resident(name, lambda: ngrams.Lexicon(shipped.value)), shards)
+
+    packed = trusted.select("text").mapInPandas(count, "shard int, blob binary").groupBy("shard")
+    parts = staged(packed.applyInPandas(lambda g: ngrams.merged(g, bits), "kind int, shard int, blob binary, s array<long>"))
+    stats = parts.where("kind = 0").select("shard", "s").collect()
+    tallies = np.sum([r["s"] for r in stats], 0)
+    n1, middle = np.zeros(types + 2, "uint32"), np.zeros((4, types + 2), "uint32")
+    for r in parts.where("kind = 1").groupBy("shard").applyInPandas(ngrams.summed, "shard int, blob binary").collect():
+        at, n = ngrams.unpack(r["blob"], 2)
+        n1[at] = n
+    for r in parts.where("kind = 3").select("blob").collect():
+        at, *n = ngrams.unpack(r["blob"], 5)
+        middle[:, at] = n
+    bloom = np.zeros(1 << (bits - 3), "uint8")
+    for r in parts.where("kind = 2").groupBy("shard").applyInPandas(lambda g: ngrams.marked(g, bits), "shard int, blob binary").collect():
+        size = min(len(bloom), 1 << (ngrams.PART - 3))
+        bloom[r["shard"] * size :][:size] = np.frombuffer(ngrams.pa.decompress(r["blob"], size, codec="zstd"), "uint8")
+    d = [_discounts(x) for x in (np.bincount(np.minimum(n1, 5), minlength=6)[1:5], tallies[4:8], tallies[:4])]
+    seen = n1[n1 > 0]
+    unknown = float(ngrams._take(seen, d[0]).sum()) / int(seen.sum()) / (2 * len(seen))
+    w2 = np.divide(middle[1:].T @ np.array(d[1]), middle[0], out=np.zeros(types + 2), where=middle[0] > 0).astype("float32")
+    numbers = ngrams.Numbers(n1, w2, d, int(seen.sum()), unknown, shards, bits, ngrams.pa.compress(bloom, codec="zstd", asbytes=True))
+    shares = np.zeros(shards)
+    for r in stats:
+        shares[r["shard"]] = r["s"][9] / tokens
+    return Packed(parts.where("kind = 0").select("shard", "blob"), shipped, numbers, int(tallies[8]) + len(seen), shares)
 
 
 def _joined_scores(docs: DataFrame, model: Model) -> DataFrame:
@@ -196,19 +202,49 @@ def _joined_scores(docs: DataFrame, model: Model) -> DataFrame:
     return at.join(summed, "_at", "left").fillna({"_n": 0, "_log": 0.0}).drop("_at")
 
 
-def scored(docs: DataFrame, model: Model, table_bound: int = 4_000_000) -> DataFrame:
+def _shard_scores(docs: DataFrame, model: Packed) -> DataFrame:
+    """docs with _n and _log: their trigrams travel to the model's shards, sums by text come back."""
+    sc, name = docs.sparkSession.sparkContext, uuid.uuid4().hex
+    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    splits = np.maximum(np.ceil(model.shares * chars / SPLIT_CHARS), 1).astype("int64")
+    buckets = pieces(chars, BUCKET_CHARS)
+    shipped, numbers = model.hashes, sc.broadcast(model.numbers)
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return ngrams.packed_texts(batches, ngrams.resident(name, lambda: ngrams.Sieve(shipped.value, numbers.value)), splits)
+
+    def score(group: pd.DataFrame) -> pd.DataFrame:
+        return ngrams.shard_scores(group, numbers.value, buckets)
+
+    rows = keyed.select(F.col("_key").alias("key"), "text").mapInPandas(emit, "shard int, split int, kind int, blob binary, keys binary")
+    copies = F.explode(F.sequence(F.lit(0), F.element_at(F.array(*[F.lit(int(x) - 1) for x in splits]), F.col("shard") + 1)))
+    counts = model.counts.select("shard", copies.alias("split"), F.lit(0).alias("kind"), "blob", F.lit(b"").alias("keys"))
+    found = counts.unionByName(rows).groupBy("shard", "split").applyInPandas(score, "bucket int, kind int, blob binary")
+    sums = staged(found.groupBy("bucket").applyInPandas(ngrams.document_scores, "_key long, _n long, _log double"))
+    return keyed.join(F.broadcast(sums) if sums.count() <= BROADCAST_SUMS else sums, "_key", "left").drop("_key").fillna({"_n": 0, "_log": 0.0})
+
+
+def scored(docs: DataFrame, model: Packed | Model, table_bound: int = 4_000_000) -> DataFrame:
     """docs with _n (words) and _log (their summed log-probability)."""
-    if model.entries() > table_bound:
+    if isinstance(model, Model):
         return _joined_scores(staged(docs), model)
-    shipped = docs.sparkSession.sparkContext.broadcast(compact(model))  # at most table_bound entries
-    unknown, name = model.unknown, uuid.uuid4().hex
+    if model.entries > table_bound:
+        return _shard_scores(docs, model)
+    name = uuid.uuid4().hex
+    shipped = docs.sparkSession.sparkContext.broadcast(([r["blob"] for r in model.counts.collect()], dataclasses.replace(model.numbers, filter=b"")))  # at most table_bound entries
+    words = model.hashes
 
     @F.pandas_udf("_n long, _log double")
     def score(texts: pd.Series) -> pd.DataFrame:
         n_all, log_all = [], []
-        table = Table.of(name, shipped, unknown)
+
+        def make() -> tuple[ngrams.Lexicon, ngrams.Table]:
+            return ngrams.Lexicon(words.value), ngrams.Table(*shipped.value)
+
+        lexicon, table = ngrams.resident(name, make)
         for lo in range(0, len(texts), 512):
-            sizes, a, b, c = trigrams(texts.iloc[lo : lo + 512].tolist())
+            sizes, a, b, c = lexicon.trigrams(texts.iloc[lo : lo + 512].tolist())
             n_all.append(sizes)
             log_all.append(np.bincount(np.repeat(np.arange(len(sizes)), sizes), table.logs(a, b, c), len(sizes)))
         return pd.DataFrame({"_n": np.concatenate(n_all or [np.zeros(0, "int64")]), "_log": np.concatenate(log_all or [np.zeros(0)])})
@@ -221,6 +257,8 @@ def scored(docs: DataFrame, model: Model, table_bound: int = 4_000_000) -> DataF
 BROADCAST_LANGUAGES = 100_000
 #: Ids of training documents that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Texts whose sums are broadcast at most.
+BROADCAST_SUMS = 1_000_000
 
 
 def _limits(losses: DataFrame, quantile: float) -> DataFrame:
@@ -239,22 +277,22 @@ def _limits(losses: DataFrame, quantile: float) -> DataFrame:
     return ranked.groupBy("group", "k").agg(F.min("loss").alias("limit"))
 
 
-def judged(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, prior: float = 20.0, least: int = 50, table_bound: int = 4_000_000) -> DataFrame:
-    """row (all columns of docs as a struct), n, perplexity, threshold and keep for every row of docs."""
+def judged(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, prior: float = 20.0, least: int = 50, table_bound: int = 4_000_000, word_bound: int = WORD_BOUND, columns: list[str] | None = None) -> DataFrame:
+    """row (all columns of docs, or the given ones, as a struct), n, perplexity, threshold and keep for every row of docs."""
     with scratch():  # of the model's tables
-        return _judged(docs, labels, quantile, prior, least, table_bound)
+        return _judged(docs, labels, quantile, prior, least, table_bound, word_bound, columns or docs.columns)
 
 
-def _judged(docs: DataFrame, labels: DataFrame, quantile: float, prior: float, least: int, table_bound: int) -> DataFrame:
+def _judged(docs: DataFrame, labels: DataFrame, quantile: float, prior: float, least: int, table_bound: int, word_bound: int, columns: list[str]) -> DataFrame:
     # inside a struct the columns of docs can't clash with any of ours
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    own = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), F.col("text").cast("string").alias("text"))
+    own = docs.select(F.struct(*columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), F.col("text").cast("string").alias("text"))
     good = F.min(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good")
     toxic = F.max("toxic") if "toxic" in labels.columns else F.lit(0)
     labelled = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(good, F.coalesce(toxic, F.lit(0)).alias("toxic")).where("good = 1 and toxic = 0").select("doc_id")
     half = F.pmod(F.xxhash64("doc_id", F.lit("trusted")), F.lit(2))
     taught = cut(labelled.where(half == 0))
-    model = train(own.join(F.broadcast(taught) if taught.count() <= BROADCAST_IDS else taught, "doc_id", "left_semi"))
+    model = train(own.join(F.broadcast(taught) if taught.count() <= BROADCAST_IDS else taught, "doc_id", "left_semi"), word_bound)
     if model is None:
         none = F.lit(None).cast("double")
         return own.select("row", F.lit(0).cast("long").alias("n"), none.alias("perplexity"), none.alias("threshold"), F.lit(True).alias("keep"))
@@ -262,7 +300,7 @@ def _judged(docs: DataFrame, labels: DataFrame, quantile: float, prior: float, l
     unseen = labelled.where(half == 1)
     held = cut(table.select("doc_id", "lang", "_n", "_log").join(unseen, "doc_id", "left_semi").select("lang", "_n", "_log"))
     sums = held.agg(F.sum("_log"), F.sum("_n")).first()
-    mean = -(sums[0] / sums[1]) if sums[1] else -float(np.log(model.unknown))
+    mean = -(sums[0] / sums[1]) if sums[1] else -float(np.log(model.unknown if isinstance(model, Model) else model.numbers.unknown))
     loss = F.round((prior * mean - F.col("_log")) / (F.col("_n") + prior), 9)  # either way of scoring gives the same digits
     losses = cut(held.select("lang", loss.alias("loss")))
     common = _limits(losses.select(F.lit(0).alias("group"), "loss"), quantile).agg(F.max("limit")).first()[0]
@@ -276,7 +314,7 @@ def _judged(docs: DataFrame, labels: DataFrame, quantile: float, prior: float, l
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, lang, n_words, perplexity, threshold and keep for every row of docs; see judged() for the options."""
     lang = F.col("row.lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    return judged(docs.select(*[c for c in ("doc_id", "lang", "text") if c in docs.columns]), labels, **options).select("row.doc_id", lang.alias("lang"), F.col("n").alias("n_words"), "perplexity", "threshold", "keep")
+    return judged(docs, labels, columns=[c for c in ("doc_id", "lang") if c in docs.columns], **options).select("row.doc_id", lang.alias("lang"), F.col("n").alias("n_words"), "perplexity", "threshold", "keep")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -645,8 +645,8 @@ def test_all_trusted_documents_teach(spark):
     mean = -sum(logs[i][0] for i in held) / sum(logs[i][1] for i in held)
     loss = [(20 * mean - a) / (n + 20) for a, n in logs]
     limit = sorted(loss[i] for i in held)[-(-99 * len(held) // 100) - 1]
-    for bound in (4_000_000, 0):
-        got = classify(df, labels, table_bound=bound).collect()
+    for bound, words in ((4_000_000, 6_000_000), (0, 6_000_000), (0, 0)):  # shipped, dealt to shards, joined
+        got = classify(df, labels, table_bound=bound, word_bound=words).collect()
         assert len(got) == 5_000
         for r in got:
             assert abs(np.log(r.perplexity) - loss[r.doc_id]) < 1e-5 and abs(np.log(r.threshold) - limit) < 1e-5
