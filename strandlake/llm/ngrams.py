@@ -26,7 +26,7 @@ from .words import Words
 #: Codes of words that the trusted text doesn't have, and of what stands before a document's first word.
 UNSEEN, START = 0, 1
 #: Trigrams that a task packs at once.
-CHUNK = 1_000_000
+CHUNK = 500_000
 #: Words of a part of the word counts.
 SPAN = 1 << 20
 
@@ -92,24 +92,34 @@ class Lexicon:
         return sizes, flat[last - 2], flat[last - 1], flat[last]
 
 
-def word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(c, n) of batches of text: words' hashes and how often they occur, summed up now and then."""
+def word_counts(batches: Iterator[pd.DataFrame], parts: int) -> Iterator[pd.DataFrame]:
+    """(part, blob) of batches of text: words' hashes and how often they occur, summed up now and then."""
     held, n = [], 0
 
     def flush() -> pd.DataFrame:
         words, k = np.unique(np.concatenate(held), return_counts=True)
-        return pd.DataFrame({"c": words, "n": k})
+        part = ((words & 0xFFFFFFFF) * parts) >> 32
+        own = [part == x for x in range(parts)]
+        return pd.DataFrame({"part": np.arange(parts), "blob": [words[x].tobytes() + pack(k[x]) for x in own], "n": [int(x.sum()) for x in own]})
 
     for batch in batches:
         held.append(Words(batch["text"].tolist(), lower=True).hashes().view("int64"))
         n += len(held[-1])
-        if n > 4 * CHUNK:
+        if n > 6 * CHUNK:
             yield flush()
             held, n = [], 0
     if n:
         yield flush()
 
 
+def summed_words(group: pd.DataFrame) -> pd.DataFrame:
+    """(c, n) of one part's blobs."""
+    words = np.concatenate([np.frombuffer(x[: 8 * n], "int64") for x, n in zip(group["blob"], group["n"], strict=True)])
+    k = np.concatenate([unpack(x[8 * n :], 1)[0] for x, n in zip(group["blob"], group["n"], strict=True)])
+    words, of = np.unique(words, return_inverse=True)
+    return pd.DataFrame({"c": words, "n": np.bincount(of.ravel(), k, len(words)).astype("int64")})
+
+
 def packed_counts(batches: Iterator[pd.DataFrame], lexicon: Lexicon, shards: int) -> Iterator[pd.DataFrame]:
     """(shard, blob) of batches of text: trigrams and how often they occur."""
     held, n = [], 0
@@ -124,7 +134,7 @@ def packed_counts(batches: Iterator[pd.DataFrame], lexicon: Lexicon, shards: int
         for lo in range(0, len(texts), 512):
             held.append(lexicon.trigrams(texts[lo : lo + 512])[1:])
             n += len(held[-1][0])
-            if n > CHUNK:
+            if n > 2 * CHUNK:
                 yield flush()
                 held, n = [], 0
     if n:
@@ -136,13 +146,25 @@ def _sorted_blobs(a, b, c, k, shard) -> pd.DataFrame:
     a, b, c, k, shard = a[order], b[order], c[order], k[order], shard[order]
     ids, starts = np.unique(shard, return_index=True)
     ends = np.append(starts[1:], len(shard))
-    return pd.DataFrame({"shard": ids, "blob": [pack(a[x:y], np.diff(b[x:y], prepend=0), c[x:y], k[x:y]) for x, y in zip(starts, ends, strict=True)]})
+    blobs = []
+    for x, y in zip(starts, ends, strict=True):
+        step = np.diff(b[x:y], prepend=0)
+        blobs.append(pack(np.where(step == 0, np.diff(a[x:y], prepend=0), a[x:y]), step, c[x:y], k[x:y]))
+    return pd.DataFrame({"shard": ids, "blob": blobs})
+
+
+def _sorted_columns(blob: bytes) -> list[np.ndarray]:
+    a, step, c, k = unpack(blob, 4)
+    first = np.flatnonzero(step)  # of each middle word; no code in a model is 0
+    sums = np.cumsum(a)
+    return [sums - np.repeat(sums[first] - a[first], np.diff(np.append(first, len(a)))), np.cumsum(step), c, k]
 
 
 def _trigram_counts(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, c, n) of blobs of counts, each trigram once."""
-    parts = [unpack(x, 4) for x in blobs]
-    a, b, c, k = (np.concatenate([np.cumsum(p[j]) if j == 1 else p[j] for p in parts]) for j in range(4))
+    parts = [_sorted_columns(x) for x in blobs]
+    a, b, c, k = (np.concatenate([p[j] for p in parts]) for j in range(4))
+    del parts
     _, at, of = np.unique(combine(a, b, c), return_index=True, return_inverse=True)
     return a[at], b[at], c[at], np.bincount(of.ravel(), k, len(at)).astype("int64")
 
@@ -179,6 +201,15 @@ def merged(group: pd.DataFrame, bits: int) -> pd.DataFrame:
 PART = 24
 
 
+def ranks(words: int, shards: int) -> np.ndarray:
+    """The place of each code among those of its shard."""
+    shard = place(np.arange(words), shards)
+    order = np.argsort(shard, kind="stable")
+    out = np.zeros(words, "uint32")
+    out[order] = np.arange(words) - np.searchsorted(shard[order], shard[order])
+    return out
+
+
 def probes(x: np.ndarray, y: np.ndarray, bits: int, kind: int) -> np.ndarray:
     """Two places of each pair (x, y) in a filter of 2^bits, one row after the other."""
     h = combine(np.full(len(x), kind, "int64"), x, y).view("uint64")
@@ -228,6 +259,7 @@ class Sieve:
     def __init__(self, hashes: np.ndarray, numbers: Numbers):
         self.lexicon, self.bits, self.shards, self.unknown = Lexicon(hashes), numbers.bits, numbers.shards, numbers.unknown
         self.p1, self.w2 = numbers.single()
+        self.ranks = ranks(len(numbers.n1), numbers.shards)
         self.filter = np.frombuffer(pa.decompress(numbers.filter, 1 << (numbers.bits - 3), codec="zstd"), "uint8")
 
     def may_have(self, x: np.ndarray, y: np.ndarray, kind: int) -> np.ndarray:
@@ -297,10 +329,11 @@ class Table:
 
 
 def packed_texts(batches: Iterator[pd.DataFrame], sieve: Sieve, splits: np.ndarray) -> Iterator[pd.DataFrame]:
-    """(shard, split, kind, blob, keys) of batches of (key, text).
+    """(shard, split, kind, chunk, blob) of batches of (key, text).
 
-    Kind 1 holds trigrams that must see their shard, each with its place in keys; kind 2 holds for each document its
-    words and the summed logarithms of what follows from words alone.
+    Kind 1 holds trigrams that must see their shard, each with its document's place in the chunk; kind 2 holds how many
+    rows of kind 1 the chunk has, and for each document its key, its words and the summed logarithms of what follows
+    from words alone. A chunk is named by its keys.
     """
     keys, held, n = [], [], 0
 
@@ -318,12 +351,12 @@ def packed_texts(batches: Iterator[pd.DataFrame], sieve: Sieve, splits: np.ndarr
         order = np.argsort(shard.astype("uint16") if sieve.shards < 1 << 16 else shard, kind="stable")
         a, b, c, doc, shard = a[order], b[order], c[order], doc[order], shard[order]
         ids, starts = np.unique(shard, return_index=True)
-        mix = int(own[0]) & 0xFFFFFFFF
-        rows = [(mix % sieve.shards, 0, 2, own.tobytes() + sizes.astype("int64").tobytes() + logs.tobytes(), b"")]
+        chunk = int(np.bitwise_xor.reduce(combine(own, np.arange(len(own)))))
+        mix = chunk & 0xFFFFFFFF
+        rows = [(mix % sieve.shards, 0, 2, chunk, len(ids).to_bytes(8, "little") + own.tobytes() + sizes.astype("int64").tobytes() + logs.tobytes())]
         for shard_, x, y in zip(ids, starts, [*starts, len(shard)][1:], strict=True):
-            docs, at = np.unique(doc[x:y], return_inverse=True)
-            rows.append((int(shard_), mix % int(splits[shard_]), 1, pack(a[x:y], b[x:y], c[x:y], np.diff(at.ravel(), prepend=0)), own[docs].tobytes()))
-        return pd.DataFrame(rows, columns=["shard", "split", "kind", "blob", "keys"])
+            rows.append((int(shard_), mix % int(splits[shard_]), 1, chunk, pack(a[x:y], sieve.ranks[b[x:y]], c[x:y], np.diff(doc[x:y], prepend=0))))
+        return pd.DataFrame(rows, columns=["shard", "split", "kind", "chunk", "blob"])
 
     for batch in batches:
         texts, ids = batch["text"].tolist(), batch["key"].to_numpy("int64")
@@ -338,34 +371,36 @@ def packed_texts(batches: Iterator[pd.DataFrame], sieve: Sieve, splits: np.ndarr
         yield flush()
 
 
-def shard_scores(group: pd.DataFrame, numbers: Numbers, buckets: int) -> pd.DataFrame:
-    """(bucket, kind, blob) of one shard's rows: documents' keys and summed logarithms, with their words in kind 2."""
+def shard_scores(group: pd.DataFrame, numbers: Numbers) -> pd.DataFrame:
+    """(chunk, kind, blob) of one shard's rows: in kind 1 documents' places and summed logarithms, kind 2 as it came."""
     blobs = group["blob"][group["kind"] == 0].tolist()
     table = Table(blobs, numbers) if blobs else None
-    found = {1: [], 2: []}
-    for kind, blob, keys in zip(group["kind"], group["blob"], group["keys"], strict=True):
+    words, rows = np.flatnonzero(place(np.arange(len(numbers.n1)), numbers.shards) == int(group["shard"].iloc[0])), []
+    for kind, chunk, blob in zip(group["kind"], group["chunk"], group["blob"], strict=True):
         if kind == 1:
-            own = np.frombuffer(keys, "int64")
             a, b, c, at = unpack(blob, 4)
-            found[1].append((own, np.bincount(np.cumsum(at), table.logs(a, b, c), len(own)).view("int64")))
-        elif kind == 2:
-            found[2].append(np.frombuffer(blob, "int64").reshape(3, -1))
-    rows = []
-    for kind, parts in found.items():
-        whole = np.concatenate(parts, 1) if parts else np.zeros((2, 0), "int64")
-        bucket = ((whole[0] & 0xFFFFFFFF) * buckets) >> 32
-        for x in np.unique(bucket):
-            rows.append((int(x), kind, np.ascontiguousarray(whole[:, bucket == x]).tobytes()))
-    return pd.DataFrame(rows, columns=["bucket", "kind", "blob"])
+            docs, of = np.unique(np.cumsum(at), return_inverse=True)
+            logs = np.bincount(of.ravel(), table.logs(a, words[b], c), len(docs))
+            blob = len(docs).to_bytes(8, "little") + logs.tobytes() + pack(np.diff(docs, prepend=0))
+        if kind:
+            rows.append((chunk, kind, blob))
+    return pd.DataFrame(rows, columns=["chunk", "kind", "blob"])
 
 
 def document_scores(group: pd.DataFrame) -> pd.DataFrame:
-    """(_key, _n, _log) of one bucket's rows; documents of one key have equal words and sums."""
-    parts = [np.frombuffer(x, "int64").reshape(1 + k, -1) for k, x in zip(group["kind"], group["blob"], strict=True)]
-    key, of = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    logs = np.bincount(of.ravel(), np.concatenate([p[-1] for p in parts]).view("float64"), len(key))
-    own = [p for p in parts if len(p) == 3]
-    at = np.searchsorted(key, np.concatenate([p[0] for p in own]))
-    copies = np.bincount(at, minlength=len(key))
-    n = np.bincount(at, np.concatenate([p[1] for p in own]), len(key))
-    return pd.DataFrame({"_key": key, "_n": (n / copies).astype("int64"), "_log": logs / copies})
+    """(_key, _n, _log) of some chunks' rows, each key once: documents of one key have equal words and sums."""
+    found = []
+    for _, rows in group.groupby("chunk"):
+        own, parts = rows["blob"][rows["kind"] == 2].tolist(), rows["blob"][rows["kind"] == 1].tolist()
+        sent = [int.from_bytes(x[:8], "little") for x in own]
+        if not own or sum(sent) != len(parts):
+            raise RuntimeError("parts of a chunk are missing: its documents were read in another order when a task ran again")
+        keys, sizes, logs = np.frombuffer(own[0][8:], "int64").reshape(3, -1)
+        logs = logs.view("float64") * len(own)  # equal chunks come together
+        for x in parts:
+            end = 8 + 8 * int.from_bytes(x[:8], "little")
+            logs[np.cumsum(unpack(x[end:], 1)[0])] += np.frombuffer(x[8:end], "float64")
+        found.append((keys, sizes, logs / len(own)))
+    keys, sizes, logs = (np.concatenate([f[k] for f in found]) for k in range(3))
+    keys, at = np.unique(keys, return_index=True)
+    return pd.DataFrame({"_key": keys, "_n": sizes[at], "_log": logs[at]})

@@ -82,8 +82,8 @@ class Packed:
     shares: np.ndarray
 
 
-#: Words of a lexicon that is shipped at most; trained tokens of a shard; characters of documents that meet a shard, and whose sums meet, in one task; bits of the largest filter, as a power of two.
-WORD_BOUND, SHARD_TOKENS, SPLIT_CHARS, BUCKET_CHARS, MOST_BITS = 6_000_000, 1_250_000, 100_000_000, 100_000_000, 28
+#: Words of a lexicon that is shipped at most; characters of a part of the word counts; trained tokens of a shard; characters of documents that meet a shard, and whose sums meet, in one task; bits of the largest filter, as a power of two.
+WORD_BOUND, WORDS_CHARS, SHARD_TOKENS, SPLIT_CHARS, BUCKET_CHARS, MOST_BITS = 6_000_000, 10_000_000, 1_000_000, 50_000_000, 50_000_000, 28
 
 
 def _discounts(n: list[int]) -> list[float]:
@@ -140,7 +140,9 @@ def _train_by_joins(trusted: DataFrame) -> Model:
 def train(trusted: DataFrame, word_bound: int = WORD_BOUND) -> Packed | Model | None:
     """The model of trusted(text); None if that holds no word. More than word_bound words are counted by joins."""
     sc = trusted.sparkSession.sparkContext
-    words = staged(trusted.select("text").mapInPandas(ngrams.word_counts, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")))
+    chars = trusted.agg(F.sum(F.length("text"))).first()[0] or 0
+    heard = trusted.select("text").mapInPandas(lambda batches: ngrams.word_counts(batches, pieces(chars, WORDS_CHARS)), "part int, blob binary, n long")
+    words = staged(heard.groupBy("part").applyInPandas(ngrams.summed_words, "c long, n long"))
     types, tokens = words.agg(F.count(F.lit(1)), F.sum("n")).first()
     if not types:
         return None
@@ -215,13 +217,14 @@ def _shard_scores(docs: DataFrame, model: Packed) -> DataFrame:
         return ngrams.packed_texts(batches, ngrams.resident(name, lambda: ngrams.Sieve(shipped.value, numbers.value)), splits)
 
     def score(group: pd.DataFrame) -> pd.DataFrame:
-        return ngrams.shard_scores(group, numbers.value, buckets)
+        return ngrams.shard_scores(group, numbers.value)
 
-    rows = keyed.select(F.col("_key").alias("key"), "text").mapInPandas(emit, "shard int, split int, kind int, blob binary, keys binary")
+    rows = keyed.select(F.col("_key").alias("key"), "text").mapInPandas(emit, "shard int, split int, kind int, chunk long, blob binary")
     copies = F.explode(F.sequence(F.lit(0), F.element_at(F.array(*[F.lit(int(x) - 1) for x in splits]), F.col("shard") + 1)))
-    counts = model.counts.select("shard", copies.alias("split"), F.lit(0).alias("kind"), "blob", F.lit(b"").alias("keys"))
-    found = counts.unionByName(rows).groupBy("shard", "split").applyInPandas(score, "bucket int, kind int, blob binary")
-    sums = staged(found.groupBy("bucket").applyInPandas(ngrams.document_scores, "_key long, _n long, _log double"))
+    counts = model.counts.select("shard", copies.alias("split"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("chunk"), "blob")
+    found = counts.unionByName(rows).groupBy("shard", "split").applyInPandas(score, "chunk long, kind int, blob binary")
+    sums = found.groupBy(F.pmod("chunk", F.lit(buckets))).applyInPandas(ngrams.document_scores, "_key long, _n long, _log double")
+    sums = staged(sums.groupBy("_key").agg(F.max("_n").alias("_n"), F.min("_log").alias("_log")))
     return keyed.join(F.broadcast(sums) if sums.count() <= BROADCAST_SUMS else sums, "_key", "left").drop("_key").fillna({"_n": 0, "_log": 0.0})
 
 

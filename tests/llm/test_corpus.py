@@ -631,7 +631,8 @@ def test_quality_keeps_and_rejects(spark):
     assert classify(fx.empty(spark), labels).count() == 0
 
 
-def test_all_trusted_documents_teach(spark):
+def test_all_trusted_documents_teach(spark, monkeypatch):
+    from strandlake.llm import quality
     from strandlake.llm.quality import classify
 
     from .test_pipeline import plain_losses
@@ -645,7 +646,9 @@ def test_all_trusted_documents_teach(spark):
     mean = -sum(logs[i][0] for i in held) / sum(logs[i][1] for i in held)
     loss = [(20 * mean - a) / (n + 20) for a, n in logs]
     limit = sorted(loss[i] for i in held)[-(-99 * len(held) // 100) - 1]
-    for bound, words in ((4_000_000, 6_000_000), (0, 6_000_000), (0, 0)):  # shipped, dealt to shards, joined
+    for bound, words, shard in ((4_000_000, 10**6, 10**6), (0, 10**6, 10**6), (0, 10**6, 500), (0, 0, 0)):  # shipped, dealt to one shard and to many, joined
+        for name in ("WORDS_CHARS", "SHARD_TOKENS", "SPLIT_CHARS", "BUCKET_CHARS") if shard else ():
+            monkeypatch.setattr(quality, name, shard)
         got = classify(df, labels, table_bound=bound, word_bound=words).collect()
         assert len(got) == 5_000
         for r in got:
