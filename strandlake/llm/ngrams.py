@@ -6,8 +6,8 @@ what the middle word gives away. Words travel as codes of a lexicon (frequent wo
 bytes of equal weight side by side and compressed, so a trigram takes a few bytes. A model that is
 small enough is rebuilt in every worker; otherwise the documents' trigrams travel to the shards, save
 those that a Bloom filter or an unseen middle word rules out: their probability follows from words
-alone. Words at either end that the filter rules out stay behind too. A full filter rules out less and
-changes no result. Documents go by a 64-bit hash of their text; sums come back packed.
+alone. Words at either end that the filter rules out stay behind too. A fuller filter rules out less,
+and without one all travel; no result changes. Documents go by a 64-bit hash of their text; sums come back packed.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ UNSEEN, START = 0, 1
 CHUNK = 500_000
 #: Words of a part of the word counts.
 SPAN = 1 << 20
+_ZSTD = pa.Codec("zstd", compression_level=9)
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -38,7 +39,7 @@ def pack(*columns: np.ndarray) -> bytes:
         rest = (c[c >= 255] - 255).astype("<u4")
         out += [np.minimum(c, 255).astype("uint8").tobytes(), np.ascontiguousarray(rest.view("uint8").reshape(-1, 4).T).tobytes()]
     whole = b"".join(out)
-    return len(columns[0]).to_bytes(8, "little") + len(whole).to_bytes(8, "little") + pa.compress(whole, codec="zstd", asbytes=True)
+    return len(columns[0]).to_bytes(8, "little") + len(whole).to_bytes(8, "little") + _ZSTD.compress(whole, asbytes=True)
 
 
 def unpack(blob: bytes, columns: int) -> list[np.ndarray]:
@@ -173,7 +174,7 @@ def merged(group: pd.DataFrame, bits: int) -> pd.DataFrame:
     """(kind, shard, blob, s) of one shard's blobs.
 
     Kind 0 holds the shard's counts, s its counts of counts, entries and tokens; kind 1 the words by the number of
-    words before them, in parts of SPAN codes; kind 2 the places in a filter of 2^bits of its contexts and bigrams;
+    words before them, in parts of SPAN codes; kind 2 the places in a filter of 2^bits (0: no filter) of its contexts and bigrams;
     kind 3 its middle words with the sum of their bigrams' counts and how many of these are 1, 2, and more.
     """
     shard = int(group["shard"].iloc[0])
@@ -189,18 +190,12 @@ def merged(group: pd.DataFrame, bits: int) -> pd.DataFrame:
     middle, of = np.unique(b[at], return_inverse=True)
     of = of.ravel()
     rows.append((3, shard, pack(middle, *(np.bincount(of, x, len(middle)) for x in (n2, n2 == 1, n2 == 2, n2 > 2))), None))
-    marks = np.unique(np.concatenate([probes(a, b, bits, 0), probes(b[at], c[at], bits, 1)]))
-    # places of the filter by their upper bits, so that each part is put together in one task
-    for part in np.unique(marks >> PART):
-        own = marks[marks >> PART == part]
-        rows.append((2, int(part), pack(np.diff(own - (part << PART), prepend=0)), None))
+    if bits:
+        marks = np.unique(np.concatenate([probes(a, b, bits, 0), probes(b[at], c[at], bits, 1)]))
+        rows.append((2, shard, pack(np.diff(marks, prepend=0)), None))
     return pd.DataFrame(rows, columns=["kind", "shard", "blob", "s"])
 
 
-#: Bits of the filter that one task puts together, as a power of two.
-PART = 24
-
-
 def ranks(words: int, shards: int) -> np.ndarray:
     """The place of each code among those of its shard."""
     shard = place(np.arange(words), shards)
@@ -223,14 +218,6 @@ def summed(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shard": group["shard"].iloc[:1], "blob": [pack(words, np.bincount(of.ravel(), n))]})
 
 
-def marked(group: pd.DataFrame, bits: int) -> pd.DataFrame:
-    """The bytes of a part of the filter."""
-    on = np.zeros(1 << min(PART, bits), bool)
-    for blob in group["blob"]:
-        on[np.cumsum(unpack(blob, 1)[0])] = True
-    return pd.DataFrame({"shard": group["shard"].iloc[:1], "blob": [pa.compress(np.packbits(on, bitorder="little").tobytes(), codec="zstd", asbytes=True)]})
-
-
 @dataclass
 class Numbers:
     """What shards need beside their counts: n1[code] words stand before a word, a bigram backs off from it with w2[code] (0: no context)."""
@@ -260,10 +247,12 @@ class Sieve:
         self.lexicon, self.bits, self.shards, self.unknown = Lexicon(hashes), numbers.bits, numbers.shards, numbers.unknown
         self.p1, self.w2 = numbers.single()
         self.ranks = ranks(len(numbers.n1), numbers.shards)
-        self.filter = np.frombuffer(pa.decompress(numbers.filter, 1 << (numbers.bits - 3), codec="zstd"), "uint8")
+        self.filter = np.frombuffer(pa.decompress(numbers.filter, 1 << (numbers.bits - 3), codec="zstd"), "uint8") if numbers.bits else None
 
     def may_have(self, x: np.ndarray, y: np.ndarray, kind: int) -> np.ndarray:
         """False only where the model doesn't have the context (kind 0) or bigram (kind 1) of x and y."""
+        if self.filter is None:
+            return np.ones(len(x), bool)
         at = probes(x, y, self.bits, kind)
         on = (self.filter[at >> 3] >> (at & 7).astype("uint8")) & 1
         return (on[: len(x)] & on[len(x) :]).astype(bool)

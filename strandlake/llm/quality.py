@@ -1,18 +1,18 @@
 """Operator 10: a quality classifier from an interpolated modified Kneser-Ney trigram model.
 
 The model is trained on trusted text: documents labelled good and not toxic, all of the half that a
-hash of doc_id picks for training. Counts are sharded by n-gram and joined: trigram
-counts give the continuation counts of bigrams, those the counts of words; each order has three
-discounts from its counts of counts, and a join of every n-gram with its context's total and with
-the probability of its suffix gives the interpolated probability. Unknown words share the uniform
-base.
+hash of doc_id picks for training. Counts are sharded by the trigram's middle word (see ngrams):
+trigram counts give the continuation counts of bigrams, those the counts of words; each order has
+three discounts from its counts of counts, and every n-gram meets its context's total and the
+probability of its suffix, which gives the interpolated probability. Unknown words share the uniform
+base. A trusted text of more than `word_bound` words is counted and scored by joins of whole n-grams.
 
 Documents are scored where they are read, against a hash table of the model; a model of more than
-`table_bound` entries isn't shipped, and the documents' n-grams are joined with the sharded tables
-instead. The score is the mean negative log-probability of a word, drawn towards the trusted mean
-by `prior` words, because a short text says little. A document goes if its score is above its
-language's quantile among trusted documents that the model hasn't seen (the other half, all of
-them); languages with fewer than `least` such documents take the quantile of all.
+`table_bound` entries isn't shipped, and the documents' n-grams travel to its shards instead. The
+score is the mean negative log-probability of a word, drawn towards the trusted mean by `prior`
+words, because a short text says little. A document goes if its score is above its language's
+quantile among trusted documents that the model hasn't seen (the other half, all of them); languages
+with fewer than `least` such documents take the quantile of all.
 
 Words are separated by white space, A-Z in lower case. The labels may come with any column `quality`
 of 0 and 1. Edge cases: null and empty texts have no words, score the trusted mean and stay; null
@@ -83,7 +83,7 @@ class Packed:
 
 
 #: Words of a lexicon that is shipped at most; characters of a part of the word counts; trained tokens of a shard; characters of documents that meet a shard, and whose sums meet, in one task; bits of the largest filter, as a power of two.
-WORD_BOUND, WORDS_CHARS, SHARD_TOKENS, SPLIT_CHARS, BUCKET_CHARS, MOST_BITS = 6_000_000, 10_000_000, 1_000_000, 50_000_000, 50_000_000, 28
+WORD_BOUND, WORDS_CHARS, SHARD_TOKENS, SPLIT_CHARS, BUCKET_CHARS, MOST_BITS = 6_000_000, 10_000_000, 1_250_000, 50_000_000, 50_000_000, 28
 
 
 def _discounts(n: list[int]) -> list[float]:
@@ -152,6 +152,7 @@ def train(trusted: DataFrame, word_bound: int = WORD_BOUND) -> Packed | Model |
     c, n = found["c"].to_numpy(), found["n"].to_numpy()
     hashes = c[np.lexsort((c, -n))]
     shards, bits = pieces(tokens, SHARD_TOKENS), min(max(int(8 * tokens).bit_length(), 12), MOST_BITS)
+    bits = bits if tokens < 1 << (bits - 1) else 0  # a filter of more would rule out little
     shipped, name = sc.broadcast(hashes), uuid.uuid4().hex  # at most word_bound words
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -168,10 +169,10 @@ def train(trusted: DataFrame, word_bound: int = WORD_BOUND) -> Packed | Model |
     for r in parts.where("kind = 3").select("blob").collect():
         at, *n = ngrams.unpack(r["blob"], 5)
         middle[:, at] = n
-    bloom = np.zeros(1 << (bits - 3), "uint8")
-    for r in parts.where("kind = 2").groupBy("shard").applyInPandas(lambda g: ngrams.marked(g, bits), "shard int, blob binary").collect():
-        size = min(len(bloom), 1 << (ngrams.PART - 3))
-        bloom[r["shard"] * size :][:size] = np.frombuffer(ngrams.pa.decompress(r["blob"], size, codec="zstd"), "uint8")
+    bloom = np.zeros(1 << (bits - 3) if bits else 0, "uint8")
+    for r in parts.where("kind = 2").select("blob").toLocalIterator():
+        at = np.cumsum(ngrams.unpack(r["blob"], 1)[0])
+        np.bitwise_or.at(bloom, at >> 3, (1 << (at & 7)).astype("uint8"))
     d = [_discounts(x) for x in (np.bincount(np.minimum(n1, 5), minlength=6)[1:5], tallies[4:8], tallies[:4])]
     seen = n1[n1 > 0]
     unknown = float(ngrams._take(seen, d[0]).sum()) / int(seen.sum()) / (2 * len(seen))
@@ -305,7 +306,7 @@ def _judged(docs: DataFrame, labels: DataFrame, quantile: float, prior: float, l
     sums = held.agg(F.sum("_log"), F.sum("_n")).first()
     mean = -(sums[0] / sums[1]) if sums[1] else -float(np.log(model.unknown if isinstance(model, Model) else model.numbers.unknown))
     loss = F.round((prior * mean - F.col("_log")) / (F.col("_n") + prior), 9)  # either way of scoring gives the same digits
-    losses = cut(held.select("lang", loss.alias("loss")))
+    losses = held.select("lang", loss.alias("loss"))
     common = _limits(losses.select(F.lit(0).alias("group"), "loss"), quantile).agg(F.max("limit")).first()[0]
     own_limits = _limits(losses.where("lang is not null").select(F.col("lang").alias("group"), "loss"), quantile)
     limits = cut(own_limits.where(F.col("k") >= least).select(F.col("group").alias("lang"), "limit"))
