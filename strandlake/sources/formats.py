@@ -122,8 +122,8 @@ def read_intervals(spark: SparkSession, path: str) -> DataFrame:
 # ------------------------------------------------------------------ PAF, FAI, distances
 
 
-def paf_error(row: dict[str, Column], cigar: Column, need_cigar: bool) -> Column:
-    """Why a record is invalid, or null."""
+def paf_error(row: dict[str, Column], cigar: Column, need_cigar: bool, target_lengths: bool = True) -> Column:
+    """Why a record is invalid, or null; without target_lengths a target may end beyond its stated length."""
     units = cg.parse(cigar)
     out = F.lit(None).cast("string")
     checks = [
@@ -132,7 +132,7 @@ def paf_error(row: dict[str, Column], cigar: Column, need_cigar: bool) -> Column
         ("number", F.greatest(*[c.isNull().cast("int") for k, c in row.items() if k not in _PAF_TEXT]) == 1),
         ("strand", ~row["strand"].isin("+", "-")),
         ("query bounds", (row["query_start"] < 0) | (row["query_start"] >= row["query_end"]) | (row["query_end"] > row["query_length"])),
-        ("target bounds", (row["target_start"] < 0) | (row["target_start"] >= row["target_end"]) | (row["target_end"] > row["target_length"])),
+        ("target bounds", (row["target_start"] < 0) | (row["target_start"] >= row["target_end"]) | (F.lit(target_lengths) & (row["target_end"] > row["target_length"]))),
         ("matches", row["matches"] > row["block_length"]),
         ("mapq", row["mapq"] > 255),
         ("no cigar", F.lit(need_cigar) & cigar.isNull()),
@@ -144,13 +144,13 @@ def paf_error(row: dict[str, Column], cigar: Column, need_cigar: bool) -> Column
     return out
 
 
-def parse_paf(lines: DataFrame, need_cigar: bool = False) -> DataFrame:
+def parse_paf(lines: DataFrame, need_cigar: bool = False, target_lengths: bool = True) -> DataFrame:
     """lines(value) to the twelve fields, cigar, and error."""
     parts = lines.where(F.trim("value") != "").select(F.split("value", "\t").alias("f")).withColumn("_n", F.size("f"))
     row = {k: F.get("f", F.lit(i)) if k in _PAF_TEXT else F.expr(f"try_cast(get(f, {i}) as bigint)") for i, k in enumerate(PAF_FIELDS)}
     tag = F.get(F.filter("f", lambda x: x.startswith("cg:Z:")), F.lit(0))
     named = parts.select("_n", *[c.alias(k) for k, c in row.items()], F.substring(tag, F.lit(6), F.length(tag)).alias("cigar"))
-    return named.withColumn("error", paf_error({k: F.col(k) for k in PAF_FIELDS}, F.col("cigar"), need_cigar)).drop("_n")
+    return named.withColumn("error", paf_error({k: F.col(k) for k in PAF_FIELDS}, F.col("cigar"), need_cigar, target_lengths)).drop("_n")
 
 
 def unknown_contigs(paf: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -40,3 +40,8 @@ def test_f24_starts_one_beyond_the_gap_are_apart(spark):
 
     rows = spark.createDataFrame([("a", 1), ("a", 12), ("a", 22)], "chr string, start long")
     assert sorted(map(tuple, coordinate_sessions(rows, "start", ["chr"], 10).collect())) == [("a", 1, 2, 1), ("a", 12, 23, 2)]
+
+
+def test_f25_targets_longer_than_the_sql_says(spark, tmp_path):
+    ours, theirs = both(spark, tmp_path, "paf_records", lineitem=lines(l_orderkey=[5, 6, 7], l_linenumber=[1, 1, 1], l_partkey=[95_000, 89_999, 7], l_quantity=[9.0, 9.0, 9.0]).astype({"l_linenumber": "int32"}))
+    assert ours == theirs
