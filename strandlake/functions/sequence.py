@@ -41,10 +41,10 @@ def is_plain_name(name: Column) -> Column:
     return name.isNotNull() & name.rlike(r"^\S+$")
 
 
-def readable_size(n: Column) -> Column:
-    """Bytes with a binary unit and two decimals."""
+def readable_size(n: Column, units: tuple[str, ...] = ("KB", "MB", "GB", "TB")) -> Column:
+    """Bytes with a binary unit, the last one at most, and two decimals."""
     out = F.concat(n.cast("string"), F.lit(" B"))
-    for power, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
+    for power, unit in enumerate(units, 1):
         out = F.when(n >= 1024**power, F.format_string(f"%.2f {unit}", n / float(1024**power))).otherwise(out)
     return out
 

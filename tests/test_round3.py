@@ -45,3 +45,9 @@ def test_f24_starts_one_beyond_the_gap_are_apart(spark):
 def test_f25_targets_longer_than_the_sql_says(spark, tmp_path):
     ours, theirs = both(spark, tmp_path, "paf_records", lineitem=lines(l_orderkey=[5, 6, 7], l_linenumber=[1, 1, 1], l_partkey=[95_000, 89_999, 7], l_quantity=[9.0, 9.0, 9.0]).astype({"l_linenumber": "int32"}))
     assert ours == theirs
+
+
+def test_f26_sizes_beyond_gigabytes(spark, tmp_path):
+    orders = pd.read_parquet(f"{SF}/orders.parquet").head(4).assign(o_orderkey=[3, 2**15, 2**20, 9_000_000])
+    ours, theirs = both(spark, tmp_path, "readable_sizes", orders=orders)
+    assert ours == theirs and any("1024.00 GB" in r for r in theirs)
