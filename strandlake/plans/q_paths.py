@@ -214,7 +214,8 @@ g AS (SELECT *, sum(CASE WHEN chr = c0 AND (CASE WHEN strand = '+' THEN s = e0 E
 SELECT block, CAST(row AS BIGINT) AS row, min(s) AS "start", max(e) AS "end", string_agg(dna, '' ORDER BY run) AS dna FROM g GROUP BY block, row""")
 def maf_reblocking(spark: SparkSession, d: str) -> DataFrame:
     """Runs that continue one another on a leaf become one row."""
-    line = ad.read(spark, d, "lineitem").dropDuplicates(["l_orderkey", "l_linenumber"])
+    at = F.struct("_metadata.file_path", "_metadata.row_index")  # of equal runs the first in the table is kept
+    line = ad.read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min_by(F.struct("l_partkey", "l_suppkey"), at).alias("k")).select("l_orderkey", "l_linenumber", "k.*")
     even = F.col("l_orderkey") % 2 == 0
     n, cut = F.col("l_linenumber").cast("long") * 10, F.col("l_suppkey") % 2
     runs = line.select(

@@ -51,3 +51,11 @@ def test_f26_sizes_beyond_gigabytes(spark, tmp_path):
     orders = pd.read_parquet(f"{SF}/orders.parquet").head(4).assign(o_orderkey=[3, 2**15, 2**20, 9_000_000])
     ours, theirs = both(spark, tmp_path, "readable_sizes", orders=orders)
     assert ours == theirs and any("1024.00 GB" in r for r in theirs)
+
+
+def test_f27_the_first_of_equal_runs_is_kept(spark, tmp_path):
+    # Spark reads the larger file first; the first file's rows win all the same
+    first = pd.read_parquet(f"{SF}/lineitem.parquet").head(1000)
+    more = pd.concat([first.assign(l_partkey=first["l_partkey"] + 1, l_suppkey=first["l_suppkey"] + k) for k in (1, 2, 3)], ignore_index=True)
+    ours, theirs = both(spark, tmp_path, "maf_reblocking", lineitem=[first, more])
+    assert ours == theirs
