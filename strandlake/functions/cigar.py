@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UNITS = "array<struct<op:string,len:bigint>>"
+_UNITS = T.ArrayType(T.StructType().add("op", "string").add("len", "long"))
 #: Op codes of the packed form, and the ops that consume each axis.
 CODES = "MIDNSHP=X"
 ON_REFERENCE, ON_QUERY, ALIGNED = ("M", "D", "N", "=", "X"), ("M", "I", "S", "=", "X"), ("M", "=", "X")
@@ -77,28 +81,79 @@ def split_at(units: Column, at: Column, ops: tuple[str, ...] = ON_REFERENCE) ->
     return done["a"], done["b"]
 
 
+@F.arrow_udf(T.StructType().add("r", "string").add("q", "string"))
+def _rendered(ref: pa.Array, qry: pa.Array, ops: pa.Array, sizes: pa.Array) -> pa.Array:
+    out = []
+    for a, b, own, n in zip(ref.to_pylist(), qry.to_pylist(), ops.to_pylist(), sizes.to_pylist()):
+        if a is None or b is None or own is None:
+            out.append({"r": None, "q": None})
+            continue
+        r, q, i, j = [], [], 0, 0
+        for op, k in zip(own, n):
+            on_r, on_q = op in ON_REFERENCE, op in ON_QUERY
+            r.append(a[i : i + k] if on_r else "-" * k)
+            q.append(b[j : j + k] if on_q else "-" * k)
+            i, j = i + k * on_r, j + k * on_q
+        out.append({"r": "".join(r), "q": "".join(q)})
+    return pa.array(out, pa.struct([("r", pa.string()), ("q", pa.string())]))
+
+
 def render_rows(ref: Column, qry: Column, units: Column) -> tuple[Column, Column]:
-    """Both aligned rows of an alignment."""
-    def walk(acc: Column, u: Column) -> Column:
-        n = u["len"].cast("int")
-        on_r, on_q = u["op"].isin(*ON_REFERENCE), u["op"].isin(*ON_QUERY)
-        r = F.when(on_r, F.substring(ref, acc["i"].cast("int") + 1, n)).otherwise(F.repeat(F.lit("-"), n))
-        q = F.when(on_q, F.substring(qry, acc["j"].cast("int") + 1, n)).otherwise(F.repeat(F.lit("-"), n))
-        zero = F.lit(0).cast("long")
-        return F.struct(F.concat(acc["r"], r).alias("r"), F.concat(acc["q"], q).alias("q"), (acc["i"] + F.when(on_r, u["len"]).otherwise(zero)).alias("i"), (acc["j"] + F.when(on_q, u["len"]).otherwise(zero)).alias("j"))
-
-    zero = F.lit(0).cast("long")
-    done = F.aggregate(units, F.struct(F.lit("").alias("r"), F.lit("").alias("q"), zero.alias("i"), zero.alias("j")), walk)
+    """Both aligned rows of an alignment; in Arrow batches, as a text that grows in a fold is copied at every step."""
+    done = _rendered(ref, qry, F.transform(units, lambda u: u["op"]), F.transform(units, lambda u: u["len"]))
     return done["r"], done["q"]
 
 
+def _columns(ref: pa.Array, qry: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, reference letter, query letter) of every column that both rows of a pair have, and the pairs without a row."""
+    rows = list(zip(ref.to_pylist(), qry.to_pylist()))
+    sizes = [0 if a is None or b is None else min(len(a), len(b)) for a, b in rows]
+    letters = lambda k: np.frombuffer("".join(x[k][:n] for x, n in zip(rows, sizes) if n).encode("utf-32-le", "surrogatepass"), "<u4")
+    return np.repeat(np.arange(len(rows)), sizes), letters(0), letters(1), np.array([a is None or b is None for a, b in rows], bool)
+
+
+_GAP, _NONE = ord("-"), ord("X")
+
+
+def _units(ref: pa.Array, qry: pa.Array, extended: bool) -> pa.Array:
+    pair, a, b, missing = _columns(ref, qry)
+    some = (a != _GAP) | (b != _GAP)
+    pair, a, b = pair[some], a[some], b[some]
+    upper = lambda x: np.where((x >= 97) & (x <= 122), x - 32, x)
+    same = (upper(a) == upper(b)) & (upper(a) != _NONE)
+    code = np.where(a == _GAP, 1, np.where(b == _GAP, 2, np.where(same, 7, 8) if extended else 0))
+    at = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (code[1:] != code[:-1]))) if len(pair) else np.zeros(0, "int64")
+    ops = pa.array(list(CODES)).take(pa.array(code[at]))
+    offsets = np.append(0, np.cumsum(np.bincount(pair[at], minlength=len(missing)))).astype("int32")
+    units = pa.StructArray.from_arrays([ops, pa.array(np.diff(np.append(at, len(pair))))], ["op", "len"])
+    return pa.ListArray.from_arrays(pa.array(offsets), units, mask=pa.array(missing))
+
+
+@F.arrow_udf(_UNITS)
+def _extended(ref: pa.Array, qry: pa.Array) -> pa.Array:
+    return _units(ref, qry, True)
+
+
+@F.arrow_udf(_UNITS)
+def _aligned(ref: pa.Array, qry: pa.Array) -> pa.Array:
+    return _units(ref, qry, False)
+
+
 def from_rows(ref: Column, qry: Column, extended: bool = True) -> Column:
     """CIGAR of two aligned rows: = and X (or M), I where the reference has the gap, D where the query has; columns of two gaps vanish."""
-    pairs = F.arrays_zip(F.split(ref, "").alias("r"), F.split(qry, "").alias("q"))
-    same = lambda p: F.when((F.upper(p["r"]) == F.upper(p["q"])) & (F.upper(p["r"]) != "X"), "=").otherwise("X")
-    op = lambda p: F.when(p["r"] == "-", "I").when(p["q"] == "-", "D").otherwise(same(p) if extended else F.lit("M"))
-    shown = F.filter(pairs, lambda p: ~((p["r"] == "-") & (p["q"] == "-")) & (p["r"] != "") & (p["q"] != ""))
-    return coalesce_units(F.transform(shown, lambda p: F.struct(op(p).alias("op"), F.lit(1).cast("long").alias("len"))))
+    return (_extended if extended else _aligned)(ref, qry)
+
+
+@F.arrow_udf(T.StructType().add("both", "long").add("same", "long"))
+def _agreement(ref: pa.Array, qry: pa.Array) -> pa.Array:
+    pair, a, b, missing = _columns(ref, qry)
+    count = lambda of: pa.array(np.bincount(pair[of], minlength=len(missing)), mask=missing)
+    return pa.StructArray.from_arrays([count((a != _GAP) & (b != _GAP)), count((a != _GAP) & (a == b))], ["both", "same"])
+
+
+def shared_columns(ref: Column, qry: Column) -> Column:
+    """How many columns hold a base of both aligned rows."""
+    return _agreement(ref, qry)["both"]
 
 
 def gap_quality(units: Column, matches: Column, least: float) -> Column:
@@ -141,9 +196,7 @@ def preferred(units: Column, open_: int = 400, extend: int = 30, match: int = 91
 
 def row_quality(ref: Column, qry: Column) -> tuple[Column, Column]:
     """(identity over columns of two bases, share of the shorter side in such columns) of two aligned rows."""
-    pairs = F.arrays_zip(F.split(ref, "").alias("r"), F.split(qry, "").alias("q"))
-    both = F.size(F.filter(pairs, lambda p: (p["r"] != "-") & (p["q"] != "-") & (p["r"] != "") & (p["q"] != "")))
-    same = F.size(F.filter(pairs, lambda p: (p["r"] != "-") & (p["r"] == p["q"]) & (p["r"] != "")))
+    both, same = _agreement(ref, qry)["both"], _agreement(ref, qry)["same"]
     bases = lambda c: F.length(F.replace(c, F.lit("-"), F.lit("")))
     shorter = F.least(bases(ref), bases(qry))
     return F.when(both > 0, same / both).otherwise(F.lit(0.0)), F.when(shorter > 0, both / shorter).otherwise(F.lit(0.0))

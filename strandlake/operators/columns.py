@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cigar as cg
+from ..functions.joins import sorted_join
 
 
 def cells(rows: DataFrame) -> DataFrame:
@@ -13,16 +14,20 @@ def cells(rows: DataFrame) -> DataFrame:
     return rows.select("block", "row", F.posexplode(F.split("aligned", "")).alias("col", "base")).where(F.col("base") != "")
 
 
+def row_pairs(rows: DataFrame, left: tuple[str, str], right: tuple[str, str]) -> DataFrame:
+    """(block, left's name and text, right's name and text) of every two rows of a block, the smaller row on the left."""
+    a = rows.select("block", F.col("row").alias(left[0]), F.col("aligned").alias(left[1]))
+    b = rows.select("block", F.col("row").alias(right[0]), F.col("aligned").alias(right[1]))
+    return sorted_join(a, b, ["block"]).where(F.col(left[0]) < F.col(right[0]))
+
+
 def shared_pairs(rows: DataFrame) -> DataFrame:
     """(block, left, right, columns) of row pairs that share columns without gaps.
 
     A block's rows are joined, not its cells: bases of both rows are compared in place.
     """
-    left = rows.select("block", F.col("row").alias("left"), F.col("aligned").alias("a"))
-    right = rows.select("block", F.col("row").alias("right"), F.col("aligned").alias("b"))
-    both = left.join(right, "block").where("left < right")
-    shared = F.size(F.filter(F.arrays_zip(F.split("a", "").alias("x"), F.split("b", "").alias("y")), lambda p: (p["x"] != "-") & (p["y"] != "-") & (p["x"] != "") & (p["y"] != ""))).cast("long")
-    return both.withColumn("columns", shared).where("columns > 0").select("block", "left", "right", "columns")
+    both = row_pairs(rows, ("left", "a"), ("right", "b"))
+    return both.withColumn("columns", cg.shared_columns(F.col("a"), F.col("b"))).where("columns > 0").select("block", "left", "right", "columns")
 
 
 def base_groups(rows: DataFrame) -> DataFrame:
@@ -52,7 +57,7 @@ def elementary_runs(rows: DataFrame) -> DataFrame:
 
 def run_spans(rows: DataFrame, runs: DataFrame) -> DataFrame:
     """(block, run, row, before, length): where each present row's bases of a run stand in the row."""
-    placed = rows.join(runs.where(F.instr("mask", "1") > 0), "block")
+    placed = sorted_join(rows, runs.where(F.instr("mask", "1") > 0), ["block"])
     before = F.length(F.replace(F.substring(F.col("aligned"), F.lit(1), F.col("col_beg").cast("int")), F.lit("-"), F.lit("")))
     part = F.replace(F.substring(F.col("aligned"), (F.col("col_beg") + 1).cast("int"), (F.col("col_end") - F.col("col_beg")).cast("int")), F.lit("-"), F.lit(""))
     return placed.select("block", "run", "row", before.cast("long").alias("before"), F.length(part).cast("long").alias("length")).where("length > 0")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import cigar as cg
 from ..functions import intervals as iv
 from ..functions import sequence as sq
-from ..operators import graph, paths
+from ..operators import columns, graph, paths
 from . import adapters as ad
 from . import q_align as qa
 from . import q_intervals as qi
@@ -296,7 +296,5 @@ SELECT block, l, r, round(CASE WHEN both_ > 0 THEN same / CAST(both_ AS DOUBLE)
 def aligned_row_quality(spark: SparkSession, d: str) -> DataFrame:
     """Identity and coverage of every pair of aligned rows."""
     rows = ad.alignment_rows(spark, d)
-    a = rows.select("block", F.col("row").alias("l"), F.col("aligned").alias("x"))
-    b = rows.select("block", F.col("row").alias("r"), F.col("aligned").alias("y"))
     identity, coverage = cg.row_quality(F.col("x"), F.col("y"))
-    return a.join(b, "block").where("l < r").select("block", "l", "r", F.round(identity, 9).alias("identity"), F.round(coverage, 9).alias("coverage"))
+    return columns.row_pairs(rows, ("l", "x"), ("r", "y")).select("block", "l", "r", F.round(identity, 9).alias("identity"), F.round(coverage, 9).alias("coverage"))
