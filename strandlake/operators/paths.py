@@ -24,13 +24,17 @@ def delete_species(segs: DataFrame, names: list[str]) -> DataFrame:
 
 
 def surrounding(points: DataFrame, segs: DataFrame, key: list[str], at: str) -> DataFrame:
-    """Each point(id, key, at) with the last segment that starts at or before it and the first that starts behind."""
+    """Each point(id, key, at) with the last segment that starts at or before it and the first that starts behind.
+
+    Both are found by frames that only grow, forwards and backwards: one that shrinks is read anew for every row.
+    """
     p = points.select(*key, F.col(at).alias("_x"), F.lit(1).alias("_p"), F.col("id"), F.lit(None).cast("long").alias("_s"))
-    s = segs.select(*key, F.col("start").alias("_x"), F.lit(0).alias("_p"), F.lit(None).cast("long").alias("id"), F.col("start").cast("long").alias("_s"))
+    s = segs.select(*key, "start").distinct().select(*key, F.col("start").alias("_x"), F.lit(0).alias("_p"), F.lit(None).cast("long").alias("id"), F.col("start").cast("long").alias("_s"))
     both = p.unionByName(s)
     order = Window.partitionBy(*key).orderBy("_x", "_p")
     before = F.last("_s", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_s", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    back = Window.partitionBy(*key).orderBy(F.desc("_x"), F.desc("_p"))
+    after = F.last("_s", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     return both.withColumn("before", before).withColumn("after", after).where("_p = 1").select("id", *key, F.col("_x").alias(at), "before", "after")
 
 

@@ -135,3 +135,9 @@ def test_f16_short_pairs_together_as_alone():
     pairs.append((dna(200), dna(150)))
     for band in (None, 3):
         assert align_all(pairs, band) == [global_align(r, q, band=band) for r, q in pairs]
+
+
+def test_f22_no_frame_shrinks(spark, tmp_path):
+    assert "unboundedfollowing" not in plan_of(spark, "surrounding_segments").lower().replace("$", "")
+    ours, theirs = both(spark, tmp_path, "surrounding_segments", lineitem=lines(l_partkey=[10, 10, 11, 700, 1999], l_suppkey=[0, 1, 1, 1, 9]))
+    assert ours == theirs
