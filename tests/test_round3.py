@@ -141,3 +141,11 @@ def test_f22_no_frame_shrinks(spark, tmp_path):
     assert "unboundedfollowing" not in plan_of(spark, "surrounding_segments").lower().replace("$", "")
     ours, theirs = both(spark, tmp_path, "surrounding_segments", lineitem=lines(l_partkey=[10, 10, 11, 700, 1999], l_suppkey=[0, 1, 1, 1, 9]))
     assert ours == theirs
+
+
+def test_f13_hits_are_counted_not_listed(spark, tmp_path):
+    assert "collect_list" not in plan_of(spark, "anchor_validation")
+    docs = pd.read_parquet(f"{SF}/documents.parquet").head(60)
+    texts = ["ACGTACGTTGCAACGTACGTGGGGGTTTTTACCA", "TGGTAAAAACCCCCACGTACGTTGCAACGTACGT", "AATTAATTAATTAATTAATTAATT", "AAAAAAAAAACCCCCCCCCC", None, ""] * 10
+    ours, theirs = both(spark, tmp_path, "anchor_validation", documents=docs.assign(doc_id=range(60), text=texts))
+    assert ours == theirs and len(ours) > 3
