@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import cigar as cg
 from ..functions.joins import sorted_join
@@ -68,14 +72,34 @@ def leaf_interval(start: Column, length: Column, before: Column, run: Column, re
     return F.when(reverse, start + length - before - run).otherwise(start + before)
 
 
+@F.arrow_udf(T.ArrayType(T.StructType().add("col", "long").add("base", "string")))
+def _votes(texts: pa.Array) -> pa.Array:
+    out = []
+    for own in texts.to_pylist():
+        some = ("".join(c).upper() for c in itertools.zip_longest(*own, fillvalue=""))
+        tops = ((c, max("ACGT", key=c.count)) for c in some)
+        out.append([{"col": i, "base": b if b in c else "N"} for i, (c, b) in enumerate(tops)])
+    return pa.array(out, pa.list_(pa.struct([("col", pa.int64()), ("base", pa.string())])))
+
+
+@F.arrow_udf(T.BooleanType())
+def _meet(texts: pa.Array) -> pa.Array:
+    return pa.array([any(sum(x != "-" for x in c) > 1 for c in itertools.zip_longest(*(t or [""] for t in own), fillvalue="-")) for own in texts.to_pylist()], pa.bool_())
+
+
+def _by_block(rows: DataFrame) -> DataFrame:
+    """(block, texts): a block's rows travel, not its cells."""
+    return rows.groupBy("block").agg(F.collect_list("aligned").alias("texts"))
+
+
 def base_vote(rows: DataFrame) -> DataFrame:
     """(block, col, base): the commonest of A, C, G, T in each column, the first of them on ties; N if none."""
-    base = F.upper("base")
-    n = lambda b: F.count(F.when(base == b, 1))
-    counts = cells(rows).groupBy("block", "col").agg(*[n(b).alias(b) for b in "ACGT"])
-    top = F.greatest("A", "C", "G", "T")
-    vote = F.when(top == 0, "N").when(F.col("A") == top, "A").when(F.col("C") == top, "C").when(F.col("G") == top, "G").otherwise("T")
-    return counts.select("block", F.col("col").cast("long").alias("col"), vote.alias("base"))
+    return _by_block(rows).select("block", F.explode(_votes("texts")).alias("v")).select("block", "v.col", "v.base")
+
+
+def meeting_blocks(rows: DataFrame) -> DataFrame:
+    """Blocks(block) in which two rows have a base in one column."""
+    return _by_block(rows).where(_meet("texts")).select("block")
 
 
 def weighted_consensus(donors: DataFrame, least: float = 0.6) -> DataFrame:

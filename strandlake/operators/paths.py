@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .columns import meeting_blocks
+
 
 def sentinels(contigs: DataFrame) -> DataFrame:
     """An empty path: a head before position 0 and a tail behind the end of each contig (genome, contig, kind, at)."""
@@ -135,9 +137,7 @@ def reblocked(runs: DataFrame, key: list[str]) -> DataFrame:
 
 def multi_occurrence(rows: DataFrame) -> DataFrame:
     """Blocks(block) of rows(block, row, aligned) with at least two rows and a column in which two rows have a base."""
-    bases = F.transform(F.split("aligned", ""), lambda c: (c != "-").cast("int"))
-    cells = rows.select("block", F.posexplode(bases).alias("col", "n")).groupBy("block", "col").agg(F.sum("n").alias("n"))
-    return cells.groupBy("block").agg(F.max("n").alias("most")).where("most >= 2").select("block")
+    return meeting_blocks(rows)
 
 
 def renumbered(walks: DataFrame, key: list[str], node: str) -> DataFrame:

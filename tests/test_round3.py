@@ -149,3 +149,17 @@ def test_f13_hits_are_counted_not_listed(spark, tmp_path):
     texts = ["ACGTACGTTGCAACGTACGTGGGGGTTTTTACCA", "TGGTAAAAACCCCCACGTACGTTGCAACGTACGT", "AATTAATTAATTAATTAATTAATT", "AAAAAAAAAACCCCCCCCCC", None, ""] * 10
     ours, theirs = both(spark, tmp_path, "anchor_validation", documents=docs.assign(doc_id=range(60), text=texts))
     assert ours == theirs and len(ours) > 3
+
+
+@pytest.mark.parametrize("name", ["base_vote", "maf_emitted_blocks"])
+def test_f30_f43_cells_do_not_travel(spark, name):
+    plan = plan_of(spark, name)
+    assert "posexplode" not in plan and "hashpartitioning(block" in plan
+
+
+def test_f30_f43_ragged_rows(spark):
+    from strandlake.operators import columns, paths
+
+    rows = spark.createDataFrame([(1, 0, "aC-G"), (1, 1, "CC"), (2, 0, "A-"), (2, 1, "-A"), (3, 0, "--"), (4, 0, None)], "block long, row long, aligned string")
+    assert sorted(map(tuple, columns.base_vote(rows).collect())) == [(1, 0, "A"), (1, 1, "C"), (1, 2, "N"), (1, 3, "G"), (2, 0, "A"), (2, 1, "A"), (3, 0, "N"), (3, 1, "N")]
+    assert [r.block for r in paths.multi_occurrence(rows).collect()] == [1]
